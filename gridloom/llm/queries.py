@@ -6,12 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, quality_rules, simhash
+from gridloom.llm import bpe, embeddings, mixing, quality_rules, secrets, simhash, warc
 from gridloom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [secrets.count_kind(F.col("base_spans"), k).alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(secrets.written_spans(F.col("base_spans")), 256).alias("base_sha256"), secrets.written_spans(F.col("spans")).alias("spans"))
+
+
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).read_all()
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -28,10 +38,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *stats, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op6_quality_rules, op9_simhash)}
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc_index, op3_byte_bpe, op6_quality_rules, op8_mixing, op9_simhash, op10_embeddings)}
 
 ORACLES: dict[str, str] = {}
