@@ -4,8 +4,9 @@ Alternating large-star and small-star steps: each round ties every node's
 larger neighbours, then its smaller ones, to the smallest node around it, until
 the links form stars about the smallest node of each component. Every step is
 an aggregate and a join on the node; each round is written to the shared
-folder, so a lost executor costs no more than the round. Hubs are no trouble: minima are
-combined before the shuffle, and the join is one that adaptive execution splits.
+folder, so a lost executor costs no more than the round. Minima are combined
+before the shuffle; the links of a hub are not shuffled to one task, as the
+minima of hubs, of which there can be only so many, are broadcast.
 """
 
 from __future__ import annotations
@@ -17,19 +18,35 @@ from gridloom.llm.common import drop, scratch
 
 MAX_ROUNDS = 60
 
+#: Nodes at most whose minimum is broadcast, about 4 MB: those with so large a share of the links that no more can have it.
+HUBS = 200_000
+#: Links from which on a node can be a hub.
+HUB = 256
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, links: int) -> DataFrame:
+    """``edges`` with ``m`` of their ``u`` from ``least``, ``(u, m, n)``, whose counts ``n`` add up to ``2 * links`` at most.
+
+    Links of hubs stay where they are and get the minimum by broadcast; the others are joined on ``u``.
+    """
+    hub = max(HUB, -(-2 * links // HUBS))
+    of_hubs = least.where(F.col("n") >= hub).select("u", F.col("m").alias("hub_m"))
+    seen = edges.join(F.broadcast(of_hubs), "u", "left")
+    at_hubs = seen.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m"))
+    others = seen.where("hub_m is null").select("u", "v").join(least.where(F.col("n") < hub).select("u", "m"), "u")
+    return at_hubs.unionAll(others.select("u", "v", "m"))
+
+
+def _large_star(edges: DataFrame, links: int) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    larger = both.where("v > u").join(least, "u")
-    return larger.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_least(both.where("v > u"), least, links).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, links: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    tied = _with_least(down, least, links).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -49,7 +66,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if state[0] == 0 or state == before:
             break
         before, following = state, scratch(spark, "links")
-        _small_star(_large_star(edges)).write.parquet(following)
+        _small_star(_large_star(edges, state[0]), state[0]).write.parquet(following)
         drop(spark, path)
         path = following
     else:

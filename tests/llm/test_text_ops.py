@@ -179,3 +179,26 @@ def test_near_duplicates(docs_of):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(texts)).collect()}
     assert all(got[i] // 4 == i // 4 for i in got)  # nothing unlike is linked
     assert sum(got[i] == i // 4 * 4 for i in got) >= 0.97 * len(texts)
+
+
+def test_components_with_hubs(spark):
+    rng = random.Random(3)
+    pairs = [(x, 5) for x in range(100, 1400)] + [(x, 9000) for x in range(2000, 2700)] + [(9000, 1399), (0, 2100)]
+    pairs += [(20_000 + i, 20_001 + i) for i in range(40)] + [(7, 7), (None, 8), (3, None)]
+    nodes = sorted({x for p in pairs for x in p if x is not None})
+    up = {x: x for x in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and b is not None:
+            p, q = sorted((root(a), root(b)))
+            up[q] = p
+    rng.shuffle(pairs)
+    found = simhash.connected_components(spark.createDataFrame(pairs * 2, "a long, b long")).collect()
+    got = {r.node: r.component for r in found}
+    assert {x: got.get(x, x) for x in nodes} == {x: root(x) for x in nodes}
+    assert len(found) == len(got)
