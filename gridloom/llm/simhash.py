@@ -10,14 +10,16 @@ positional bytes of the pairs are tallied, pairs that reach the guaranteed
 minimum stay, and those are verified on all bits.
 
 Copies cost nothing: the index holds distinct fingerprints. A list gives the
-links of a spanning forest of its linked members, or, if short, its linked pairs. A list of
-more than ``HOT`` members is dealt anew by all larger sets of positions that a
+links of a spanning forest of its linked members, or, if short, its linked pairs. Lists are
+counted first. One of more than ``HOT`` members never is in one task: it is dealt anew by all larger sets of positions that a
 linked pair must share, and what is then still long is searched by flipping
 bits, at a fixed cost for each member, so no list costs the square of its size.
 
 For pairs of similarity 0.8 or so, whose 64-bit fingerprints are far apart, use
-``WIDE``: more bits, many sets of two positions, and the similarity that the
-distance and the counts of shingles stand for. See ``near_duplicates``.
+``wide_index``: more bits, many sets of two positions, and the similarity that the
+distance and the counts of shingles stand for. See ``near_duplicates``. Its long
+lists are cut into blocks, and each pair of blocks is a list of its own, so no
+link is lost to the length of a list; that work is spread, but grows with the square of the list.
 """
 
 from __future__ import annotations
@@ -190,21 +192,27 @@ def _short_lists(index: Index, keys: np.ndarray, fp: np.ndarray, n: np.ndarray,
     return np.concatenate(left), np.concatenate(right)
 
 
-def _forest(index: Index, fp: np.ndarray, n: np.ndarray) -> tuple[list[int], list[int]]:
-    """Spanning forest of a list's links: rows reached one from another, each compared with those not yet reached."""
-    waiting = np.arange(len(fp))
+def _forest(index: Index, fp: np.ndarray, n: np.ndarray, side: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """Spanning forest of a list's links: rows reached one from another, each compared with those not yet reached.
+
+    With ``side`` (0 or 1 of each row) of the links between the two sides alone.
+    """
+    waiting = [np.arange(len(fp))] if side is None else [np.flatnonzero(side == s) for s in (0, 1)]
     left: list[int] = []
     right: list[int] = []
-    while len(waiting) > 1:
-        reached, waiting = [int(waiting[0])], waiting[1:]
-        while reached and len(waiting):
+    while len(waiting[0]) and len(waiting[-1]):
+        reached, waiting[0] = [int(waiting[0][0])], waiting[0][1:]
+        while reached:
             at = reached.pop()
-            ok = _linked(index, fp, n, np.full(len(waiting), at), waiting)
-            new = waiting[ok].tolist()
+            to = 0 if side is None else 1 - int(side[at])
+            if not len(waiting[to]):
+                continue
+            ok = _linked(index, fp, n, np.full(len(waiting[to]), at), waiting[to])
+            new = waiting[to][ok].tolist()
             left += [at] * len(new)
             right += new
             reached += new
-            waiting = waiting[~ok]
+            waiting[to] = waiting[to][~ok]
     return left, right
 
 
@@ -228,57 +236,40 @@ def _flipped(index: Index, free: Sequence[int], fp: np.ndarray) -> tuple[list[in
     return left, right
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("set", pa.int32()), ("fp", pa.binary()), ("n", pa.int64())])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _search(index: Index, sets: Sequence[tuple[int, ...]], last: bool, hot: int):
-    """Reads (key, id, n, fp) sorted by key; gives links, and, unless this is the last round, the members of long lists."""
+def _search(index: Index, sets: Sequence[tuple[int, ...]], hot: int, last: bool = False, sides: bool = False):
+    """Reads (key, id, n, fp) sorted by key; gives links.
+
+    ``last``: a list longer than ``hot`` has few free bytes and is searched by flips. ``sides``: a
+    row has a side besides, and rows are compared with those of the other side, if their list has two.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, n, fp in key_blocks(batches, 0, {3: index.positions}):
+        for keys, ids, n, fp, *side in key_blocks(batches, 0, {3: index.positions}):
             starts, ends = runs(keys)
-            short = (ends - starts <= SHORT) & (ends - starts <= hot)
+            short = (ends - starts <= SHORT) & (not sides)
             end_of = np.repeat(np.where(short, ends, 0), ends - starts)
             i, j = _short_lists(index, keys, fp, n, end_of)
             left, right = [i], [j]
             for lo, hi in zip(starts[~short].tolist(), ends[~short].tolist(), strict=True):
-                which = int(np.uint64(keys[lo]) >> np.uint64(56))
-                if hi - lo <= hot:
-                    a, b = _forest(index, fp[lo:hi], n[lo:hi])
-                elif not index.guaranteed:
-                    a, b = _windows(index, fp[lo:hi], n[lo:hi], hot)
-                elif last:
+                if last and hi - lo > hot:
+                    which = int(np.uint64(keys[lo]) >> np.uint64(56))
                     a, b = _flipped(index, [p for p in range(8) if p not in sets[which]], fp[lo:hi])
                 else:
-                    for x in range(lo, hi, 10_000):
-                        y = min(hi, x + 10_000)
-                        yield batch_of(_LINKS, ids[x:y], [None] * (y - x), [which] * (y - x), [r.tobytes() for r in fp[x:y]], n[x:y])
-                    continue
+                    two = sides and side[0][lo:hi].any()
+                    a, b = _forest(index, fp[lo:hi], n[lo:hi], side[0][lo:hi] if two else None)
                 left.append(np.array(a, np.int64) + lo)
                 right.append(np.array(b, np.int64) + lo)
             a, b = ids[np.concatenate(left)], ids[np.concatenate(right)]
             if len(a):
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                none = [None] * len(pairs)
-                yield batch_of(_LINKS, pairs[:, 0], pairs[:, 1], none, none, none)
+                yield batch_of(_LINKS, pairs[:, 0], pairs[:, 1])
 
     return run
 
 
-def _windows(index: Index, fp: np.ndarray, n: np.ndarray, hot: int) -> tuple[list[int], list[int]]:
-    """A list too long for all pairs, of a wide index: overlapping windows over its members as sorted in four byte orders."""
-    left: list[int] = []
-    right: list[int] = []
-    for turn in range(4):
-        order = np.lexsort(np.roll(fp, turn * index.positions // 4, axis=1).T[::-1])
-        for lo in range(0, len(order), hot // 2):
-            part = order[lo : lo + hot]
-            a, b = _forest(index, fp[part], n[part])
-            left += part[a].tolist()
-            right += part[b].tolist()
-    return left, right
-
-
 def _posted(rows: DataFrame, sets: Sequence[tuple[int, ...]]) -> DataFrame:
     """Postings: the set's number in the top byte of the key, the bytes at its positions below."""
 
@@ -290,26 +281,39 @@ def _posted(rows: DataFrame, sets: Sequence[tuple[int, ...]]) -> DataFrame:
     return rows.select(F.explode(keys).alias("key"), "id", "n", "fp")
 
 
+def _dealt(postings: DataFrame, run) -> DataFrame:
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
 def links(fingerprints: DataFrame, index: Index, hot: int = HOT) -> DataFrame:
     """Links ``(a, b)`` that connect all linked fingerprints of ``(id, n, fp)``, which are distinct by id."""
-    schema = "a long, b long, set int, fp binary, n long"
-    sorted_rows = _posted(fingerprints, index.sets).repartition("key").sortWithinPartitions("key")
-    found = written(sorted_rows.mapInArrow(_search(index, index.sets, False, hot), schema), "postings")
-    first = found.where("b is not null").select("a", "b")
+    posted = _posted(fingerprints, index.sets)
+    long_lists = posted.groupBy("key").count().where(F.col("count") > hot)
+    long_lists = written(long_lists.select("key", F.ceil(F.col("count") / hot).cast("int").alias("blocks")), "long")
+    if long_lists.isEmpty():
+        return _dealt(posted, _search(index, index.sets, hot))
+    first = _dealt(posted.join(long_lists, "key", "left_anti"), _search(index, index.sets, hot))
+    members = posted.join(long_lists, "key")
     if not index.guaranteed:
-        return first
-    again = found.where("b is null")
+        return first.unionAll(_dealt(_block_pairs(members), _search(index, index.sets, hot, sides=True)))
     # Each linked pair of a long list shares one of the larger sets that hold the list's own set.
     within = [[j for j, r in enumerate(index.refined) if set(s) <= set(r)] for s in index.sets]
-    allowed = F.element_at(F.array(*(F.array(*map(F.lit, w)) for w in within)), F.col("set") + 1)
-    member = again.select(F.col("a").alias("id"), "n", "fp", F.explode(allowed).alias("r")).distinct()
+    allowed = F.element_at(F.array(*(F.array(*map(F.lit, w)) for w in within)), F.shiftrightunsigned("key", 56).cast("int") + 1)
+    member = members.select("id", "n", "fp", F.explode(allowed).alias("r")).distinct()
     finer = _posted(member.select("id", "n", "fp").distinct(), index.refined).join(
         member.select("id", "r").distinct().withColumnRenamed("id", "id2"),
         (F.col("id") == F.col("id2")) & (F.shiftrightunsigned("key", 56) == F.col("r")),
         "left_semi",
     )
-    more = finer.repartition("key").sortWithinPartitions("key").mapInArrow(_search(index, index.refined, True, hot), schema)
-    return first.unionAll(more.select("a", "b"))
+    return first.unionAll(_dealt(finer, _search(index, index.refined, hot, last=True)))
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """Long lists as lists of each block by itself and of each two blocks, the second of them on side 1; so any two members meet."""
+    own = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    both = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return both.select(key.alias("key"), "id", "n", "fp", (F.col("own") > F.col("other")).cast("int").alias("side"))
 
 
 # ------------------------------------------------------------------- operators
@@ -329,7 +333,7 @@ def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text: str =
     return rows.join(label, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, min_similarity: float = 0.8, lanes: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, min_similarity: float = 0.8, lanes: int = 6, hot: int = HOT) -> DataFrame:
     """``(id, component_id)``: texts of one word sequence, or whose shingle sets have about the similarity, share a component.
 
     Null or blank texts are copies of one another.
@@ -337,8 +341,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
     rows = written(with_fingerprints(source, size, lanes, distinct=True).select("id", "fp", F.col("n_shingles").alias("n"), "words_key"), "fingerprints")
     same = written(rows.groupBy("words_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp")), "distinct")
-    some = same.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("fp").alias("fp"))
-    found = connected_components(links(some, wide_index(lanes, similarity=min_similarity)))
+    some = written(same.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "some")
+    found = connected_components(links(some, wide_index(lanes, similarity=min_similarity), hot))
     label = same.select("words_key", F.col("id").alias("rep")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     label = written(label.select("words_key", F.coalesce("component", "rep").alias("component_id")), "labels")
     return rows.join(label, "words_key").select(F.col("id").alias(id_col), "component_id")

@@ -181,6 +181,23 @@ def test_near_duplicates(docs_of):
     assert sum(got[i] == i // 4 * 4 for i in got) >= 0.97 * len(texts)
 
 
+def test_long_lists_lose_no_link(docs_of):
+    rng = random.Random(9)
+    texts = []
+    for g in range(4):
+        w = [f"g{g}w{rng.randrange(5000)}" for _ in range(200)]
+        for _ in range(40):
+            v = list(w)
+            for _ in range(rng.randrange(6)):
+                v[rng.randrange(200)] = f"other{rng.randrange(9)}"
+            texts.append(" ".join(v))
+    docs = docs_of(texts)
+    whole = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    for hot in (7, 16):  # lists of about 40 members, in blocks
+        assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, hot=hot).collect()} == whole
+    assert len(set(whole.values())) < len(texts) / 2
+
+
 def test_components_with_hubs(spark):
     rng = random.Random(3)
     pairs = [(x, 5) for x in range(100, 1400)] + [(x, 9000) for x in range(2000, 2700)] + [(9000, 1399), (0, 2100)]
