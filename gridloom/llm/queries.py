@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, classifier, embeddings, lm, mixing, quality_rules, secrets, simhash, substring, warc
 from gridloom.llm.common import table
+from gridloom.llm.oracles import ORACLES as ORACLES
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -67,5 +68,3 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc_index, op3_byte_bpe, op4_lm_score, op5_substring_dedup, op6_quality_rules, op7_quality_classifier, op8_mixing, op9_simhash, op10_embeddings)}
-
-ORACLES: dict[str, str] = {}
