@@ -10,7 +10,7 @@ positional bytes of the pairs are tallied, pairs that reach the guaranteed
 minimum stay, and those are verified on all bits.
 
 Copies cost nothing: the index holds distinct fingerprints. A list gives the
-links of a spanning forest of its linked members, or, if short, its linked pairs. Lists are
+links of a spanning forest of its linked members, not all its pairs. Lists are
 counted first. One of more than ``HOT`` members never is in one task: it is dealt anew by all larger sets of positions that a
 linked pair must share, and what is then still long is searched by flipping
 bits, at a fixed cost for each member, so no list costs the square of its size.
@@ -236,6 +236,23 @@ def _flipped(index: Index, free: Sequence[int], fp: np.ndarray) -> tuple[list[in
     return left, right
 
 
+def _thinned(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the links between rows that connect what all of them connect; links of small ids come first, in all lists alike."""
+    a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
+    root: dict[int, int] = {}
+    keep = []
+    order = np.lexsort((b, a))
+    for at, i, j in zip(order.tolist(), left[order].tolist(), right[order].tolist(), strict=True):
+        while (up := root.get(i, i)) != i:
+            root[i] = i = root.get(up, up)
+        while (up := root.get(j, j)) != j:
+            root[j] = j = root.get(up, up)
+        if i != j:
+            root[i] = j
+            keep.append(at)
+    return a[keep], b[keep]
+
+
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -262,7 +279,7 @@ def _search(index: Index, sets: Sequence[tuple[int, ...]], hot: int, last: bool
                     a, b = _forest(index, fp[lo:hi], n[lo:hi], side[0][lo:hi] if two else None)
                 left.append(np.array(a, np.int64) + lo)
                 right.append(np.array(b, np.int64) + lo)
-            a, b = ids[np.concatenate(left)], ids[np.concatenate(right)]
+            a, b = _thinned(ids, np.concatenate(left), np.concatenate(right))
             if len(a):
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
                 yield batch_of(_LINKS, pairs[:, 0], pairs[:, 1])
