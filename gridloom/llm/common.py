@@ -13,7 +13,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where the shared folder is when spark.checkpoint.dir is unset (single-machine runs and tests).
 LOCAL_SHARED = "file:///tmp/checkpoints/gridloom"
@@ -62,6 +63,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(columns: Iterable[str]) -> Column:
+    """A 64-bit hash of a row's values, which tells null from absent."""
+    return F.xxhash64(*(x for c in columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each string; null counts as empty."""
     big = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

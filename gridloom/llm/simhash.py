@@ -16,16 +16,17 @@ linked pair must share, and what is then still long is searched by flipping
 bits, at a fixed cost for each member, so no list costs the square of its size.
 
 For pairs of similarity 0.8 or so, whose 64-bit fingerprints are far apart, use
-``wide_index``: more bits, many sets of two positions, and the similarity that the
-distance and the counts of shingles stand for. See ``near_duplicates``. Its long
+``wide_index``: more bits and many sets of two positions. There the similarity that the
+distance and the counts of shingles stand for only proposes pairs, from ``LOOSE`` on; each is
+decided by the exact Jaccard similarity of its shingle hashes. See ``near_duplicates``. Its long
 lists are cut into blocks, and each pair of blocks is a list of its own, so no
 link is lost to the length of a list; that work is spread, but grows with the square of the list.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -34,12 +35,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch_of, key_blocks, ready, runs, utf8, written
+from gridloom.llm.common import batch_of, key_blocks, ready, row_key, runs, utf8, written
 from gridloom.llm.components import connected_components
 
 #: Members up to which a list's pairs are compared one with another.
 HOT = 4096
 SEED = 42
+#: How far below the wanted similarity the estimate of a pair to be decided may be, about four times its error.
+LOOSE = 0.15
+#: Sets of positions by which pairs are proposed, and of those the ones by which close pairs are met first.
+WIDE, FIRST = 72, 8
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -146,8 +151,8 @@ def exact_index(max_bits: int = 3) -> Index:
     return Index(8, sets, 8 - max_bits, max_bits, refined=tuple(combinations(range(8), 5)))
 
 
-def wide_index(lanes: int = 6, sets: int = 40, similarity: float = 0.8, seed: int = 5) -> Index:
-    """Sets of two positions, drawn with a seed; a pair at the similarity shares one of them with a chance of about 0.94, a closer pair more surely."""
+def wide_index(lanes: int = 6, sets: int = WIDE, similarity: float = 0.8, seed: int = 5) -> Index:
+    """Sets of two positions, drawn with a seed; of random pairs at a similarity of 0.8, 72 sets met 0.97 to 0.98, closer pairs more surely."""
     n = 8 * lanes
     rng = np.random.default_rng(seed)
     order = [tuple(sorted(p.tolist())) for _ in range(-(-sets // (n // 2))) for p in rng.permutation(n).reshape(-1, 2)]
@@ -287,7 +292,7 @@ def _search(index: Index, sets: Sequence[tuple[int, ...]], hot: int, last: bool
     return run
 
 
-def _posted(rows: DataFrame, sets: Sequence[tuple[int, ...]]) -> DataFrame:
+def _posted(rows: DataFrame, sets: Sequence[tuple[int, ...]], *more: str) -> DataFrame:
     """Postings: the set's number in the top byte of the key, the bytes at its positions below."""
 
     def key(i: int, s: tuple[int, ...]):
@@ -295,7 +300,7 @@ def _posted(rows: DataFrame, sets: Sequence[tuple[int, ...]]) -> DataFrame:
         return F.conv(F.concat(F.lit(f"{i:02x}"), F.lpad(F.hex(joined), 14, "0")), 16, 10).cast("long")
 
     keys = F.array(*(key(i, s) for i, s in enumerate(sets)))
-    return rows.select(F.explode(keys).alias("key"), "id", "n", "fp")
+    return rows.select(F.explode(keys).alias("key"), "id", "n", "fp", *more)
 
 
 def _dealt(postings: DataFrame, run) -> DataFrame:
@@ -325,12 +330,99 @@ def links(fingerprints: DataFrame, index: Index, hot: int = HOT) -> DataFrame:
     return first.unionAll(_dealt(finer, _search(index, index.refined, hot, last=True)))
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
+def _block_pairs(members: DataFrame, *more: str) -> DataFrame:
     """Long lists as lists of each block by itself and of each two blocks, the second of them on side 1; so any two members meet."""
     own = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     both = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    return both.select(key.alias("key"), "id", "n", "fp", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return both.select(key.alias("key"), "id", "n", "fp", *more, (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+
+def _propose(index: Index, sides: bool = False):
+    """Reads (key, id, n, fp, group) sorted by key, and a side with ``sides``; gives all pairs of a list that ``index`` links and whose groups differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(ids: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            a, b = ids[np.concatenate(left)], ids[np.concatenate(right)]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            if len(pairs):
+                yield batch_of(_LINKS, pairs[:, 0], pairs[:, 1])
+
+        for keys, ids, n, fp, group, *side in key_blocks(batches, 0, {3: index.positions}):
+            starts, ends = runs(keys)
+            short = (ends - starts <= SHORT) & (not sides)
+            end_of = np.repeat(np.where(short, ends, 0), ends - starts)
+            left, right, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(keys))
+            for apart in range(1, SHORT):
+                rows = rows[rows + apart < end_of[rows]]
+                if not len(rows):
+                    break
+                i = rows[group[rows] != group[rows + apart]]
+                i = i[_linked(index, fp, n, i, i + apart)]
+                left.append(i)
+                right.append(i + apart)
+            yield from given(ids, left, right)
+            for lo, hi in zip(starts[~short].tolist(), ends[~short].tolist(), strict=True):
+                two = sides and side[0][lo:hi].any()
+                left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+                for i in range(lo, hi - 1):
+                    others = group[i + 1 : hi] != group[i]
+                    if two:
+                        others &= side[0][i + 1 : hi] != side[0][i]
+                    j = np.flatnonzero(others) + i + 1
+                    j = j[_linked(index, fp, n, np.full(len(j), i), j)]
+                    left.append(np.full(len(j), i))
+                    right.append(j)
+                    held += len(j)
+                    if held >= 1 << 18:
+                        yield from given(ids, left, right)
+                        left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+                yield from given(ids, left, right)
+
+    return run
+
+
+def proposed(fingerprints: DataFrame, index: Index, hot: int = HOT) -> DataFrame:
+    """All pairs ``(a, b)`` of ``(id, n, fp, group)`` that share a set of positions, are linked by ``index`` and are of two groups."""
+    posted = _posted(fingerprints, index.sets, "group")
+    long_lists = posted.groupBy("key").count().where(F.col("count") > hot)
+    long_lists = written(long_lists.select("key", F.ceil(F.col("count") / hot).cast("int").alias("blocks")), "long")
+    if long_lists.isEmpty():
+        return _dealt(posted, _propose(index)).distinct()
+    first = _dealt(posted.join(long_lists, "key", "left_anti"), _propose(index))
+    return first.unionAll(_dealt(_block_pairs(posted.join(long_lists, "key"), "group"), _propose(index, sides=True))).distinct()
+
+
+def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """``(id, hashes)`` of ``(id, text)``: the distinct shingle hashes, in order, end to end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(hashes(t, size)).tobytes() for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "hashes"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, hashes binary")
+
+
+def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int, min_similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose sets of shingle hashes have the Jaccard similarity; ``texts`` gives ``(id, text)`` for a table of ids."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = written(_shingle_sets(texts(wanted), size).dropDuplicates(["id"]), "sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(x) + len(y)
+                least = min(len(x), len(y))
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if least >= min_similarity * (both - least) else 0
+                keep.append(shared > 0 and shared / (both - shared) >= min_similarity)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    of = lambda end: sets.select(F.col("id").alias(end), F.col("hashes").alias(f"hashes_{end}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "hashes_a", "hashes_b")
+    return written(both.mapInArrow(run, "a long, b long"), "verified")
 
 
 # ------------------------------------------------------------------- operators
@@ -351,15 +443,28 @@ def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, min_similarity: float = 0.8, lanes: int = 6, hot: int = HOT) -> DataFrame:
-    """``(id, component_id)``: texts of one word sequence, or whose shingle sets have about the similarity, share a component.
+    """``(id, component_id)``: texts of one word sequence, or whose shingle sets have the Jaccard similarity, share a component.
 
-    Null or blank texts are copies of one another.
+    The fingerprints only propose pairs; each is decided by its shingle hashes. Close pairs come first, a spanning forest of
+    each list; of what they leave in different groups, all pairs are then proposed. Null or blank texts are copies of one another.
     """
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
-    rows = written(with_fingerprints(source, size, lanes, distinct=True).select("id", "fp", F.col("n_shingles").alias("n"), "words_key"), "fingerprints")
-    same = written(rows.groupBy("words_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp")), "distinct")
-    some = written(same.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "some")
-    found = connected_components(links(some, wide_index(lanes, similarity=min_similarity), hot))
-    label = same.select("words_key", F.col("id").alias("rep")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    label = written(label.select("words_key", F.coalesce("component", "rep").alias("component_id")), "labels")
-    return rows.join(label, "words_key").select(F.col("id").alias(id_col), "component_id")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), row_key(docs.columns).alias("row_key")).where("id is not null")
+    rows = with_fingerprints(source, size, lanes, distinct=True).withColumn("node", F.xxhash64("words_key"))
+    rows = written(rows.select("node", "id", "row_key", "fp", F.col("n_shingles").alias("n")), "fingerprints")
+    same = written(rows.groupBy("node").agg(F.min(F.struct("id", "row_key")).alias("best"), F.first("n").alias("n"), F.first("fp").alias("fp")), "distinct")
+    some = same.where("n > 0").select(F.col("node").alias("id"), "n", "fp")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        keys = same.join(ids, F.col("node") == F.col("id"), "left_semi").select("node", F.col("best.row_key").alias("row_key"), F.col("best.id").alias("id"))
+        return source.join(keys, ["id", "row_key"]).select(F.col("node").alias("id"), "text")
+
+    near = wide_index(lanes, similarity=min_similarity - LOOSE)
+    close = replace(near, sets=near.sets[:FIRST], min_similarity=min_similarity + LOOSE / 3)
+    first = verified(written(links(some, close, hot).distinct(), "close"), texts, size, min_similarity)
+    groups = connected_components(first).select(F.col("node").alias("id"), "component")
+    grouped = written(some.join(groups, "id", "left").select("id", "n", "fp", F.coalesce("component", "id").alias("group")), "groups")
+    rest = verified(written(proposed(grouped, near, hot), "proposed"), texts, size, min_similarity)
+    found = connected_components(first.unionAll(rest))
+    label = written(same.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "best"), "labels")
+    label = label.join(label.groupBy("component").agg(F.min("best").alias("least")), "component")
+    return rows.join(label, "node").select(F.col("id").alias(id_col), F.col("least.id").alias("component_id"))

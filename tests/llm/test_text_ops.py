@@ -219,3 +219,23 @@ def test_components_with_hubs(spark):
     got = {r.node: r.component for r in found}
     assert {x: got.get(x, x) for x in nodes} == {x: root(x) for x in nodes}
     assert len(found) == len(got)
+
+
+def test_near_duplicates_at_the_threshold(docs_of):
+    rng = random.Random(3)
+    pairs, texts = [], []
+    for near in (0.75, 0.78, 0.80, 0.82, 0.85) * 40:
+        words = [f"p{len(pairs)}w{i}" for i in range(404)]
+        swapped = round((1 - near) / (1 + near) * 400 - (0.5 if near < 0.8 else 1) + 0.5)
+        tail = [f"p{len(pairs)}x{i}" for i in range(swapped)]
+        rng.shuffle(words)
+        other = words[: 404 - swapped] + tail  # only the shingles of the end differ
+        texts += [" ".join(words), " ".join(other)]
+        a, b = ({tuple(t[i : i + 5]) for i in range(400)} for t in (words, other))
+        pairs.append(len(a & b) / len(a | b))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(texts)).collect()}
+    linked = [got[2 * i] == got[2 * i + 1] for i in range(len(pairs))]
+    assert not any(on for on, near in zip(linked, pairs) if near < 0.8)
+    for low, high, least in ((0.8, 0.815, 0.9), (0.815, 0.84, 0.9), (0.84, 1, 0.95)):
+        some = [on for on, near in zip(linked, pairs) if low <= near < high]
+        assert len(some) >= 20 and sum(some) >= least * len(some)
