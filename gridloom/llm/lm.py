@@ -2,11 +2,11 @@
 
 Counts are taken over all training documents. Unigram counts stay exact: each chunk asks for those of its own words, by their
 64-bit hashes. Bigram counts are quantised on a logarithmic scale, and an n-gram of level q is put into a Bloom filter
-q times, with the levels 1 to q. The filter is broadcast; a count is read back by probing level after level until one
+q times, with the levels 1 to q. A count is read back by probing level after level until one
 is missing. The score is Dirichlet-smoothed: (c(v,w) + K p(w)) / (c(v) + K), with p the add-half unigram probability.
 
-The filter has a proven bound: bigrams seen less than N / ``CAPACITY`` times (N: training tokens) are left to the unigrams,
-so at most ``CAPACITY`` are in it, whatever the corpus. It is built in segments of the hash space, each by one task.
+Every bigram is in the filter. It is built in segments of the hash space, each by one task, which answers the chunks that
+ask for bigrams of its segment, as for unigrams; so no machine holds more than a segment, whatever the corpus.
 
 A text's tokens are its words, A to Z in lower case, and one end. Null texts have the end alone. A null id counts as the empty text when rows are split
 into training and held-out ones. Repeated rows count and are scored each. With nothing to learn from, V and N are 0
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import batch_of, ready
 from gridloom.llm.exchange import Answers, Chunk, Merged, blobs, chunks, exchanged, mixed, segments, stage
 
-CAPACITY = 1 << 26
 BITS_PER_ITEM = 10
 HASHES = 5
 LOG_BASE = 1.5
@@ -78,6 +77,9 @@ class Filter:
         self.edges = np.array([(s << 64) // count for s in range(1, count)], np.uint64)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
+        return count_of(self.levels(keys))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
         """By probing levels from 1 up until one is missing."""
         segment = np.searchsorted(self.edges, keys, side="right")
         sizes, first = self.sizes[segment], self.first[segment]
@@ -93,7 +95,7 @@ class Filter:
                 here &= (self.bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
             alive = alive[here]
             levels[alive] = level
-        return count_of(levels)
+        return levels
 
 
 class Tokens:
@@ -123,7 +125,7 @@ def crc_is(remainder: int, of: int) -> Callable[[int | None], bool]:
 _SENT = "segment int, chunk long, blob binary"
 
 
-def score(docs: DataFrame, held_out: Callable[[int | None], bool], id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, strength: float = STRENGTH) -> DataFrame:
+def score(docs: DataFrame, held_out: Callable[[int | None], bool], id_col: str = "doc_id", text: str = "text", strength: float = STRENGTH) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row; scores are log10 probabilities."""
     spark = ready(docs.sparkSession)
     staged = stage(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", lower=True)
@@ -143,7 +145,6 @@ def score(docs: DataFrame, held_out: Callable[[int | None], bool], id_col: str =
     words = Answers(counted, "unigrams")
     sums = spark.read.schema("segment int, chunk long, blob binary, bucket long").parquet(words.path).where("bucket = -1").select(F.col("blob").cast("string").alias("x"))
     v, n = (int(x or 0) for x in sums.agg(*(F.sum(F.split_part("x", F.lit(","), F.lit(i)).cast("long")) for i in (1, 2))).first())
-    least = max(1, -(-n // capacity))
 
     def count_training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,19 +156,20 @@ def score(docs: DataFrame, held_out: Callable[[int | None], bool], id_col: str =
     def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk in chunks(batches):
             t = Tokens(chunk, held_out)
-            yield from blobs(number, count, *(lambda k, c: (k, c.astype(np.uint32)))(*np.unique(t.pairs[t.trains], return_counts=True)))
+            keys, back = np.unique(t.pairs, return_inverse=True)
+            yield from blobs(number, count, keys, np.bincount(back, t.trains, len(keys)).astype(np.uint32))
 
-    def filter_pairs(segment: int, m: Merged) -> Iterator[tuple[int, bytes]]:
+    def probe_pairs(segment: int, m: Merged) -> Iterator[tuple[int, bytes]]:
         total = m.total(1)
-        keys = m.columns[0][m.order][m.starts][total >= least]
-        yield build_filter(keys, total[total >= least])
+        keys = m.columns[0][m.order][m.starts]
+        seen = total > 0
+        known = Filter([(segment, *build_filter(keys[seen], total[seen]))], count)
+        yield from m.answers(known.levels(keys).astype(np.uint8)[m.group])
 
-    parts = exchanged(staged.mapInArrow(send_pairs, _SENT), filter_pairs)
-    # At most CAPACITY n-grams are in it: the bound of what is collected and broadcast.
-    probes = spark.sparkContext.broadcast([(r.segment, r.chunk, bytes(r.blob)) for r in parts.toLocalIterator()])
+    pairs = Answers(exchanged(staged.mapInArrow(send_pairs, _SENT), probe_pairs), "bigrams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, read = Filter(probes.value, count), words.reader()
+        read, read_pairs = words.reader(), pairs.reader()
         for number, chunk in chunks(batches):
             t = Tokens(chunk, held_out)
             answers = read(number)
@@ -175,8 +177,9 @@ def score(docs: DataFrame, held_out: Callable[[int | None], bool], id_col: str =
             p = (c + 0.5) / (n + 0.5 * (v + 1))
             before = np.concatenate(([0], c[:-1]))
             before[t.starts] = trained
-            keys, back = np.unique(t.pairs, return_inverse=True)
-            pair = np.minimum(known.counts(keys)[back], np.minimum(before, c))
+            _, back = np.unique(t.pairs, return_inverse=True)
+            levels = np.concatenate([a[0] for a in read_pairs(number)]).astype(np.int64)
+            pair = np.minimum(count_of(levels)[back], np.minimum(before, c))
             q = (pair + strength * p) / (before + strength)
             base, smoothed = (np.add.reduceat(np.log10(x), t.starts) for x in (p, q))
             yield batch_of(schema, chunk.ids, t.out, t.ends - t.starts, np.add.reduceat((c > 0).astype(np.int64), t.starts), np.full(len(t.out), n), base, smoothed)

@@ -1,6 +1,7 @@
 """op4, op5 and op7 against brute force or held-out figures, and the edge cases of their operators."""
 
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -78,6 +79,28 @@ def test_lm_edges(docs_of):
     assert {r.held_out for r in lm.score(null, lm.crc_is(1, 5)).collect()} == {False}
 
 
+def test_lm_keeps_every_bigram(docs_of):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(60)) for _ in range(60)]
+    small = {"capacity": 64} if "capacity" in inspect.signature(lm.score).parameters else {}  # a bound that dropped rare bigrams of larger corpora
+    got = {r.doc_id: r.score for r in lm.score(docs_of(texts), lm.crc_is(1, 5), **small).collect()}
+    tokens = {i: [*t.split(), None] for i, t in enumerate(texts)}
+    trained = [ws for i, ws in tokens.items() if not lm.crc_is(1, 5)(i)]
+    one = Counter(w for ws in trained for w in ws)
+    two = Counter(p for ws in trained for p in zip(["^", *ws], ws))
+    n, v = sum(one.values()), len(one)
+    read = lambda k: float(lm.count_of(lm.level_of(np.array([k])))[0]) if k else 0.0
+    off = []
+    for i, ws in tokens.items():
+        want = 0.0
+        for a, b in zip(["^", *ws], ws):
+            before = len(trained) if a == "^" else one[a]
+            p = (one[b] + 0.5) / (n + 0.5 * (v + 1))
+            want += math.log10((min(read(two[a, b]), before, one[b]) + lm.STRENGTH * p) / (before + lm.STRENGTH))
+        off.append(abs(got[i] - want) / len(ws))
+    assert sum(off) / len(off) < 0.01 and max(off) < 0.05  # what a filter reads too much
+
+
 def brute_repeats(docs, window=50):
     words = [(d, WORD.findall(t or "")) for d, t in docs]
     first = {}
