@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that its predecesso
 return the columns of documents. ``run`` writes each stage's rows and reads them again.
 
 Stages and odd rows: null texts have no words and leave at the first stage; documents with a
-null id pass the near-duplicate stage; of rows of one id one stays there.
+null id pass the near-duplicate stage; rows of one id stay there if their texts are not near-duplicates.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, mixing, quality_rules, secrets, simhash
-from gridloom.llm.common import table, written
+from gridloom.llm.common import row_key, table, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -30,11 +30,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group; five-word shingles, similarity of 0.8 or more."""
+    """The row of smallest id, and then row key, of each group; five-word shingles, similarity of 0.8 or more."""
     groups = simhash.near_duplicates(docs, size=5, min_similarity=0.8)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    first = groups.where("first").select("doc_id", F.col("row_key").alias("\u0001key")).distinct()
+    keyed = docs.withColumn("\u0001key", row_key(docs.columns))
+    kept = keyed.join(first, ["doc_id", "\u0001key"], "left_semi").dropDuplicates(["doc_id", "\u0001key"]).drop("\u0001key")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -443,7 +443,10 @@ def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, min_similarity: float = 0.8, lanes: int = 6, hot: int = HOT) -> DataFrame:
-    """``(id, component_id)``: texts of one word sequence, or whose shingle sets have the Jaccard similarity, share a component.
+    """``(id, row_key, component_id, first)``: texts of one word sequence, or whose shingle sets have the Jaccard similarity, share a component.
+
+    ``row_key`` is of all of the row's values. Rows of one id with different texts are different texts; ``first`` says
+    which row is the component's smallest by id and row key.
 
     The fingerprints only propose pairs; each is decided by its shingle hashes. Close pairs come first, a spanning forest of
     each list; of what they leave in different groups, all pairs are then proposed. Null or blank texts are copies of one another.
@@ -467,4 +470,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = connected_components(first.unionAll(rest))
     label = written(same.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "best"), "labels")
     label = label.join(label.groupBy("component").agg(F.min("best").alias("least")), "component")
-    return rows.join(label, "node").select(F.col("id").alias(id_col), F.col("least.id").alias("component_id"))
+    is_first = (F.col("id") == F.col("least.id")) & (F.col("row_key") == F.col("least.row_key"))
+    return rows.join(label, "node").select(F.col("id").alias(id_col), "row_key", F.col("least.id").alias("component_id"), is_first.alias("first"))

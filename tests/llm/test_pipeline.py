@@ -108,3 +108,12 @@ def test_odd_rows_and_empty_tables(spark, docs_of):
             assert out.schema.names == docs.schema.names
         assert pipeline.encode(spark, out, SF).count() == out.count()
         assert (out.count() > 0) == (some is docs)
+
+
+def test_reused_ids_lose_no_text(spark, docs_of):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = docs_of([a, b, b, c, c + " end", a]).withColumn("doc_id", F.element_at(F.array(*map(F.lit, (7, 7, 8, 7, 7, 7))), F.col("doc_id").cast("int") + 1).cast("long"))
+    docs = docs.unionAll(docs.where("doc_id = 8"))
+    got = pipeline.near_dedup(spark, docs, SF).collect()
+    heads = sorted((r.doc_id, r.text.split()[0]) for r in got)
+    assert heads == [(7, "a0"), (7, "b0"), (7, "c0")]
