@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ready, utf8, written
+from gridloom.llm.common import ready, row_key, utf8, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARDS = 1 << 16
@@ -81,10 +81,10 @@ def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int]) -> lis
     return got
 
 
-def with_sizes(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``size`` (long), the number of words."""
     ready(docs.sparkSession)
-    keep = [c for c in docs.columns if c != "size" and (keep_text or c != text)]
+    keep = [c for c in docs.columns if c not in ("size", text)]
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("\u0001text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,13 +96,13 @@ def with_sizes(docs: DataFrame, text: str = "text", keep_text: bool = False) ->
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, repeats: int = 3, seed: int = 17) -> DataFrame:
-    """``(id, source_size, target, size, times, lo, hi, wrap, taken)`` for each document.
+    """``(id, source_size, target, size, times, lo, hi, wrap, taken, row_key)`` for each document; ``row_key`` is of its id, source and text.
 
     Of its words, counted from 0, each is taken ``times`` times, and once more if it is in
     [lo, hi) or below ``wrap``; ``taken`` is the sum.
     """
     spark = ready(docs.sparkSession)
-    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), row_key([id_col, source, text]).alias("row_key"))
     sized = written(with_sizes(narrow), "sizes")
     found = sorted(((r.source, r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     total = sum(n for _, n in found)
@@ -132,21 +132,20 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", te
     inside = lambda word: F.greatest(F.lit(0), F.least(F.col("size"), F.coalesce(word, F.lit(0)) - F.col("at")))
     out = placed.withColumns({"lo": inside(F.col("first")), "hi": inside(F.col("after")), "wrap": inside(F.col("again")), "times": F.coalesce("times", F.lit(0))})
     taken = F.col("times") * F.col("size") + F.col("hi") - F.col("lo") + F.col("wrap")
-    return out.select(F.col("id").alias(id_col), "source", "source_size", "target", "size", "times", "lo", "hi", "wrap", taken.cast("long").alias("taken"))
+    return out.select(F.col("id").alias(id_col), "source", "source_size", "target", "size", "times", "lo", "hi", "wrap", taken.cast("long").alias("taken"), "row_key")
 
 
-def mixed_documents(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def mixed_documents(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that the plan takes, as often as it does; where it takes part of a text, that part.
 
-    Rows of one id and size share a plan. Other columns stay as they are.
+    Each row has a plan of its own: rows of one id, source and text, which are alike to the plan, are numbered on both sides. Other columns stay as they are.
     """
-    cut = plan.where("taken > 0").select(F.col(id_col).alias("\u0001id"), F.col("size").alias("\u0001size"), "times", "lo", "hi", "wrap").dropDuplicates(["\u0001id", "\u0001size"])
     keep = docs.columns
-    sized = with_sizes(docs.select(*(F.col(f"`{c}`") for c in keep if c != "size")), text, keep_text=True)
-    if "size" in keep:
-        raise ValueError("a column named size is taken")
-    joined = sized.join(cut, F.col(id_col).eqNullSafe(F.col("\u0001id")) & (F.col("size") == F.col("\u0001size")))
-    source = joined.select(*keep, "times", "lo", "hi", "wrap")
+    ready(docs.sparkSession)
+    nth = F.row_number().over(Window.partitionBy("\u0001key").orderBy("\u0001key")).alias("\u0001nth")
+    cut = plan.select(F.col("row_key").alias("\u0001key"), "times", "lo", "hi", "wrap", "taken").select("*", nth).where("taken > 0").drop("taken")
+    keyed = docs.select(*(F.col(f"`{c}`") for c in keep), row_key([id_col, source, text]).alias("\u0001key")).select("*", nth)
+    chosen = keyed.join(cut, ["\u0001key", "\u0001nth"]).select(*(F.col(f"`{c}`") for c in keep), "times", "lo", "hi", "wrap")
     at = keep.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +165,7 @@ def mixed_documents(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", te
             taken[at] = pa.array(texts, taken[at].type)
             yield pa.RecordBatch.from_arrays(taken, names=keep)
 
-    return source.mapInArrow(run, docs.schema)
+    return chosen.mapInArrow(run, docs.schema)
 
 
 _SPACE = np.zeros(256, bool)

@@ -154,6 +154,26 @@ def test_mixing_edges(docs_of):
     assert {r.taken for r in mixing.plan_mix(docs.where("doc_id < 3")).collect()} == {0}
 
 
+def test_mixing_gives_each_row_its_own_plan(docs_of):
+    texts = [" ".join(f"t{i}w{k}" for k in range(50)) for i in range(60)]
+    docs = docs_of([*texts, *texts[:10]]).withColumn("source", F.concat(F.lit("src"), F.crc32("text") % 3))
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 60 < 20, F.lit(5)).cast("long"))  # all ids are reused or null
+    plan = mixing.plan_mix(docs)
+    want, got = {}, {}
+    for r in plan.collect():
+        want[r.source] = want.get(r.source, 0) + r.taken
+    words = {}
+    for r in mixing.mixed_documents(docs, plan).collect():
+        n = len(r.text.split())
+        got[r.source] = got.get(r.source, 0) + n
+        words[r.text.split("w")[0]] = words.get(r.text.split("w")[0], 0) + n
+    assert got == {s: n for s, n in want.items() if n}
+    taken = {}
+    for r in plan.collect():
+        taken[r.row_key] = taken.get(r.row_key, 0) + r.taken
+    assert sorted(words.values()) == sorted(n for n in taken.values() if n)
+
+
 def brute_vectors(rows):
     up = {i: i for i, _, _ in rows}
 
