@@ -16,15 +16,16 @@ linked pair must share, and what is then still long is searched by flipping
 bits, at a fixed cost for each member, so no list costs the square of its size.
 
 For pairs of similarity 0.8 or so, whose 64-bit fingerprints are far apart, use
-``wide_index``: more bits and many sets of two positions. There the similarity that the
-distance and the counts of shingles stand for only proposes pairs, from ``LOOSE`` on; each is
-decided by the exact Jaccard similarity of its shingle hashes. See ``near_duplicates``. Its long
-lists are cut into blocks, and each pair of blocks is a list of its own, so no
+``wide_index``: more bits and many sets of two positions or a little more, planned such that a text is compared with about
+as many others whatever the corpus. There the similarity that the distance and the counts of shingles stand for only
+proposes pairs, from ``LOOSE`` on; what is proposed is decided by the exact Jaccard similarity of its shingle hashes. See
+``near_duplicates``. Long lists are cut into blocks, and each pair of blocks is a list of its own, so no
 link is lost to the length of a list; that work is spread, but grows with the square of the list.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from itertools import combinations
@@ -43,8 +44,14 @@ HOT = 4096
 SEED = 42
 #: How far below the wanted similarity the estimate of a pair to be decided may be, about four times its error.
 LOOSE = 0.15
-#: Sets of positions by which pairs are proposed, and of those the ones by which close pairs are met first.
-WIDE, FIRST = 72, 8
+#: Chance by plan that a pair at the wanted similarity shares a set; bits of real texts depend on one another, so the measured one is lower.
+RECALL = 0.995
+#: Unrelated fingerprints that one is compared with at most, in all lists: more members get longer keys.
+COMPARED = 4608
+#: Sets of positions by which close pairs are met first.
+FIRST = 8
+#: Lanes of the fine fingerprints that thin out proposed pairs, and how far below the wanted similarity their estimate may be, above three times its error.
+FINE, NEAR = 32, 0.06
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -137,6 +144,8 @@ class Index:
     max_bits: int
     min_similarity: float | None = None
     refined: tuple[tuple[int, ...], ...] = ()
+    #: Leading bits of a set's last byte that count.
+    last_bits: int = 8
 
     @property
     def guaranteed(self) -> bool:
@@ -151,12 +160,25 @@ def exact_index(max_bits: int = 3) -> Index:
     return Index(8, sets, 8 - max_bits, max_bits, refined=tuple(combinations(range(8), 5)))
 
 
-def wide_index(lanes: int = 6, sets: int = WIDE, similarity: float = 0.8, seed: int = 5) -> Index:
-    """Sets of two positions, drawn with a seed; of random pairs at a similarity of 0.8, 72 sets met 0.97 to 0.98, closer pairs more surely."""
+def wide_plan(members: int, similarity: float = 0.8, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a key and number of sets for so many fingerprints: at least 16 bits, then as many as keep the comparisons at ``COMPARED``."""
+    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 16
+    while True:
+        sets = math.ceil(math.log(1 - recall) / math.log(1 - same**bits))
+        if members / 2**bits * sets <= COMPARED or bits == 40:
+            return bits, sets
+        bits += 1
+
+
+def wide_index(members: int = 0, lanes: int = 6, similarity: float = 0.8, least: float | None = None, seed: int = 5) -> Index:
+    """Sets of positions, drawn with a seed, for so many fingerprints. Pairs link from an estimated similarity of ``least`` on."""
     n = 8 * lanes
+    bits, sets = wide_plan(members, similarity)
+    size = -(-bits // 8)
     rng = np.random.default_rng(seed)
-    order = [tuple(sorted(p.tolist())) for _ in range(-(-sets // (n // 2))) for p in rng.permutation(n).reshape(-1, 2)]
-    return Index(n, tuple(order[:sets]), 4, 64 * lanes, similarity)
+    order = [tuple(sorted(p.tolist())) for _ in range(-(-sets // (n // size))) for p in rng.permutation(n)[: n // size * size].reshape(-1, size)]
+    return Index(n, tuple(order[:sets]), 4, 64 * lanes, similarity if least is None else least, last_bits=bits - 8 * (size - 1))
 
 
 def similarity(bits: np.ndarray, width: int, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -277,7 +299,7 @@ def _search(index: Index, sets: Sequence[tuple[int, ...]], hot: int, last: bool
             left, right = [i], [j]
             for lo, hi in zip(starts[~short].tolist(), ends[~short].tolist(), strict=True):
                 if last and hi - lo > hot:
-                    which = int(np.uint64(keys[lo]) >> np.uint64(56))
+                    which = int(np.uint64(keys[lo]) >> np.uint64(48))
                     a, b = _flipped(index, [p for p in range(8) if p not in sets[which]], fp[lo:hi])
                 else:
                     two = sides and side[0][lo:hi].any()
@@ -292,24 +314,24 @@ def _search(index: Index, sets: Sequence[tuple[int, ...]], hot: int, last: bool
     return run
 
 
-def _posted(rows: DataFrame, sets: Sequence[tuple[int, ...]], *more: str) -> DataFrame:
-    """Postings: the set's number in the top byte of the key, the bytes at its positions below."""
+def _posted(rows: DataFrame, sets: Sequence[tuple[int, ...]], *more: str, last_bits: int = 8) -> DataFrame:
+    """Postings: the set's number in the top bytes of the key, the bits at its positions below."""
 
     def key(i: int, s: tuple[int, ...]):
         joined = F.concat(*(F.substring("fp", p + 1, 1) for p in s))
-        return F.conv(F.concat(F.lit(f"{i:02x}"), F.lpad(F.hex(joined), 14, "0")), 16, 10).cast("long")
+        return F.lit(i << 48).bitwiseOR(F.shiftrightunsigned(F.conv(F.hex(joined), 16, 10).cast("long"), 8 - last_bits))
 
     keys = F.array(*(key(i, s) for i, s in enumerate(sets)))
     return rows.select(F.explode(keys).alias("key"), "id", "n", "fp", *more)
 
 
-def _dealt(postings: DataFrame, run) -> DataFrame:
-    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+def _dealt(postings: DataFrame, run, schema: str = "a long, b long") -> DataFrame:
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
 def links(fingerprints: DataFrame, index: Index, hot: int = HOT) -> DataFrame:
     """Links ``(a, b)`` that connect all linked fingerprints of ``(id, n, fp)``, which are distinct by id."""
-    posted = _posted(fingerprints, index.sets)
+    posted = _posted(fingerprints, index.sets, last_bits=index.last_bits)
     long_lists = posted.groupBy("key").count().where(F.col("count") > hot)
     long_lists = written(long_lists.select("key", F.ceil(F.col("count") / hot).cast("int").alias("blocks")), "long")
     if long_lists.isEmpty():
@@ -320,11 +342,11 @@ def links(fingerprints: DataFrame, index: Index, hot: int = HOT) -> DataFrame:
         return first.unionAll(_dealt(_block_pairs(members), _search(index, index.sets, hot, sides=True)))
     # Each linked pair of a long list shares one of the larger sets that hold the list's own set.
     within = [[j for j, r in enumerate(index.refined) if set(s) <= set(r)] for s in index.sets]
-    allowed = F.element_at(F.array(*(F.array(*map(F.lit, w)) for w in within)), F.shiftrightunsigned("key", 56).cast("int") + 1)
+    allowed = F.element_at(F.array(*(F.array(*map(F.lit, w)) for w in within)), F.shiftrightunsigned("key", 48).cast("int") + 1)
     member = members.select("id", "n", "fp", F.explode(allowed).alias("r")).distinct()
     finer = _posted(member.select("id", "n", "fp").distinct(), index.refined).join(
         member.select("id", "r").distinct().withColumnRenamed("id", "id2"),
-        (F.col("id") == F.col("id2")) & (F.shiftrightunsigned("key", 56) == F.col("r")),
+        (F.col("id") == F.col("id2")) & (F.shiftrightunsigned("key", 48) == F.col("r")),
         "left_semi",
     )
     return first.unionAll(_dealt(finer, _search(index, index.refined, hot, last=True)))
@@ -338,59 +360,130 @@ def _block_pairs(members: DataFrame, *more: str) -> DataFrame:
     return both.select(key.alias("key"), "id", "n", "fp", *more, (F.col("own") > F.col("other")).cast("int").alias("side"))
 
 
-def _propose(index: Index, sides: bool = False):
-    """Reads (key, id, n, fp, group) sorted by key, and a side with ``sides``; gives all pairs of a list that ``index`` links and whose groups differ."""
+def _others(group: np.ndarray, side: np.ndarray | None, i: int, lo: int, hi: int) -> np.ndarray:
+    """Rows in [lo, hi) of another group than row i, and of the other side if there are two."""
+    other = group[lo:hi] != group[i]
+    if side is not None:
+        other &= side[lo:hi] != side[i]
+    return np.flatnonzero(other) + lo
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def given(ids: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            a, b = ids[np.concatenate(left)], ids[np.concatenate(right)]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            if len(pairs):
-                yield batch_of(_LINKS, pairs[:, 0], pairs[:, 1])
 
+def _flag(index: Index, sides: bool):
+    """Reads (key, id, n, fp, group) sorted by key, and a side with ``sides``; gives the ids that ``index`` links with one of another group.
+
+    A row is compared with its list only while nothing has linked it, so lists in which most are linked cost little.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ids, n, fp, group, *side in key_blocks(batches, 0, {3: index.positions}):
             starts, ends = runs(keys)
+            flagged = np.zeros(len(keys), bool)
             short = (ends - starts <= SHORT) & (not sides)
-            end_of = np.repeat(np.where(short, ends, 0), ends - starts)
-            left, right, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(keys))
+            end_of, rows = np.repeat(np.where(short, ends, 0), ends - starts), np.arange(len(keys))
             for apart in range(1, SHORT):
                 rows = rows[rows + apart < end_of[rows]]
                 if not len(rows):
                     break
-                i = rows[group[rows] != group[rows + apart]]
+                i = rows[(group[rows] != group[rows + apart]) & ~(flagged[rows] & flagged[rows + apart])]
                 i = i[_linked(index, fp, n, i, i + apart)]
-                left.append(i)
-                right.append(i + apart)
-            yield from given(ids, left, right)
+                flagged[i] = flagged[i + apart] = True
+            for lo, hi in zip(starts[~short].tolist(), ends[~short].tolist(), strict=True):
+                two = side[0] if sides and side[0][lo:hi].any() else None
+                for i in range(lo, hi):
+                    if not flagged[i]:
+                        j = _others(group, two, i, lo, hi)
+                        j = j[_linked(index, fp, n, np.full(len(j), i), j)]
+                        flagged[j] = True
+                        flagged[i] = len(j) > 0
+            if flagged.any():
+                yield batch_of(_IDS, np.unique(ids[flagged]))
+
+    return run
+
+
+_IDS = pa.schema([("id", pa.int64())])
+_PROPOSED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("group_a", pa.int64()), ("group_b", pa.int64()), ("estimate", pa.float64())])
+
+
+def _propose(index: Index, fine_bytes: int, least: float, wanted: float, sides: bool):
+    """Reads (key, id, n, fp, group, fine, which) sorted by key, and a side with ``sides``; gives the pairs of different groups
+
+    that ``index`` links and whose estimate by the fine fingerprints is ``least`` or more. A pair is given in the first set that it shares.
+    """
+    mask = np.uint8(0xFF << (8 - index.last_bits) & 0xFF)
+
+    def earlier(differ: np.ndarray, which: int) -> np.ndarray:
+        """Whether pairs share one of the sets before this."""
+        found = np.zeros(len(differ), bool)
+        for s in index.sets[:which]:
+            apart = differ[:, s[-1]] & mask
+            for p in s[:-1]:
+                apart = apart | differ[:, p]
+            found |= apart == 0
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids, n, fp, group, fine, which, *side in key_blocks(batches, 0, {3: index.positions, 5: fine_bytes}, 1 << 15):
+
+            def given(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+                ok = _linked(index, fp, n, i, j)
+                i, j = i[ok], j[ok]
+                sizes = n[i].astype(float), n[j].astype(float)
+                estimate = similarity(np.bitwise_count(fine[i] ^ fine[j]).sum(axis=1, dtype=np.int64), 8 * fine_bytes, *sizes)
+                ok = (estimate >= least) & (np.minimum(*sizes) >= wanted * np.maximum(*sizes))
+                i, j, estimate = i[ok], j[ok], estimate[ok]
+                differ, new = fp[i] ^ fp[j], np.ones(len(i), bool)
+                for number in np.unique(which[i]).tolist():
+                    at = np.flatnonzero(which[i] == number)
+                    new[at] = ~earlier(differ[at], number)
+                i, j, estimate = i[new], j[new], estimate[new]
+                if len(i):
+                    first = ids[i] < ids[j]
+                    i, j = np.where(first, i, j), np.where(first, j, i)
+                    yield batch_of(_PROPOSED, ids[i], ids[j], group[i], group[j], estimate)
+
+            starts, ends = runs(keys)
+            short = (ends - starts <= SHORT) & (not sides)
+            end_of, rows = np.repeat(np.where(short, ends, 0), ends - starts), np.arange(len(keys))
+            for apart in range(1, SHORT):
+                rows = rows[rows + apart < end_of[rows]]
+                if not len(rows):
+                    break
+                i = rows[group[rows] != group[rows + apart]]
+                yield from given(i, i + apart)
             for lo, hi in zip(starts[~short].tolist(), ends[~short].tolist(), strict=True):
-                two = sides and side[0][lo:hi].any()
-                left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+                two = side[0] if sides and side[0][lo:hi].any() else None
                 for i in range(lo, hi - 1):
-                    others = group[i + 1 : hi] != group[i]
-                    if two:
-                        others &= side[0][i + 1 : hi] != side[0][i]
-                    j = np.flatnonzero(others) + i + 1
-                    j = j[_linked(index, fp, n, np.full(len(j), i), j)]
-                    left.append(np.full(len(j), i))
-                    right.append(j)
-                    held += len(j)
-                    if held >= 1 << 18:
-                        yield from given(ids, left, right)
-                        left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-                yield from given(ids, left, right)
+                    j = _others(group, two, i, i + 1, hi)
+                    yield from given(np.full(len(j), i), j)
 
     return run
 
 
-def proposed(fingerprints: DataFrame, index: Index, hot: int = HOT) -> DataFrame:
-    """All pairs ``(a, b)`` of ``(id, n, fp, group)`` that share a set of positions, are linked by ``index`` and are of two groups."""
-    posted = _posted(fingerprints, index.sets, "group")
+def _in_lists(posted: DataFrame, hot: int, run, schema: str, *more: str) -> DataFrame:
+    """``run(sides)`` over the lists of postings; those of more than ``hot`` members by pairs of blocks."""
     long_lists = posted.groupBy("key").count().where(F.col("count") > hot)
     long_lists = written(long_lists.select("key", F.ceil(F.col("count") / hot).cast("int").alias("blocks")), "long")
     if long_lists.isEmpty():
-        return _dealt(posted, _propose(index)).distinct()
-    first = _dealt(posted.join(long_lists, "key", "left_anti"), _propose(index))
-    return first.unionAll(_dealt(_block_pairs(posted.join(long_lists, "key"), "group"), _propose(index, sides=True))).distinct()
+        return _dealt(posted, run(False), schema)
+    members = posted.join(long_lists, "key")
+    return _dealt(posted.join(long_lists, "key", "left_anti"), run(False), schema).unionAll(_dealt(_block_pairs(members, *more), run(True), schema))
+
+
+def flagged(fingerprints: DataFrame, index: Index, hot: int = HOT) -> DataFrame:
+    """The ids of ``(id, n, fp, group)`` that share a set of positions with one of another group and are linked with it by ``index``."""
+    posted = _posted(fingerprints, index.sets, "group", last_bits=index.last_bits)
+    return _in_lists(posted, hot, lambda sides: _flag(index, sides), "id long", "group").distinct()
+
+
+def proposed(fingerprints: DataFrame, index: Index, fine_lanes: int, least: float, wanted: float, hot: int = HOT) -> DataFrame:
+    """Pairs ``(a, b, group_a, group_b, estimate)`` of ``(id, n, fp, group, fine)`` of different groups, each once, that ``index`` links,
+
+    whose fine fingerprints stand for a similarity of ``least`` or more and whose sizes allow the ``wanted`` one.
+    """
+    posted = _posted(fingerprints, index.sets, "group", "fine", last_bits=index.last_bits).withColumn("which", F.shiftrightunsigned("key", 48).cast("int"))
+    schema = "a long, b long, group_a long, group_b long, estimate double"
+    return _in_lists(posted, hot, lambda sides: _propose(index, 8 * fine_lanes, least, wanted, sides), schema, "group", "fine", "which")
 
 
 def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -448,8 +541,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     ``row_key`` is of all of the row's values. Rows of one id with different texts are different texts; ``first`` says
     which row is the component's smallest by id and row key.
 
-    The fingerprints only propose pairs; each is decided by its shingle hashes. Close pairs come first, a spanning forest of
-    each list; of what they leave in different groups, all pairs are then proposed. Null or blank texts are copies of one another.
+    The fingerprints only propose pairs; what links is decided by shingle hashes. Close pairs come first, a spanning forest of
+    each list. Texts that may be linked with one of another group then get fine fingerprints, and pairs whose fine estimate is
+    near the wanted similarity are decided: first one of each two groups, then all between groups that are still apart.
+    Null or blank texts are copies of one another.
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), row_key(docs.columns).alias("row_key")).where("id is not null")
     rows = with_fingerprints(source, size, lanes, distinct=True).withColumn("node", F.xxhash64("words_key"))
@@ -461,13 +556,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         keys = same.join(ids, F.col("node") == F.col("id"), "left_semi").select("node", F.col("best.row_key").alias("row_key"), F.col("best.id").alias("id"))
         return source.join(keys, ["id", "row_key"]).select(F.col("node").alias("id"), "text")
 
-    near = wide_index(lanes, similarity=min_similarity - LOOSE)
+    near = wide_index(some.count(), lanes, min_similarity, min_similarity - LOOSE)
     close = replace(near, sets=near.sets[:FIRST], min_similarity=min_similarity + LOOSE / 3)
     first = verified(written(links(some, close, hot).distinct(), "close"), texts, size, min_similarity)
     groups = connected_components(first).select(F.col("node").alias("id"), "component")
     grouped = written(some.join(groups, "id", "left").select("id", "n", "fp", F.coalesce("component", "id").alias("group")), "groups")
-    rest = verified(written(proposed(grouped, near, hot), "proposed"), texts, size, min_similarity)
-    found = connected_components(first.unionAll(rest))
+    some_texts = texts(written(flagged(grouped, near, hot), "flagged")).select("id", "text")
+    fine = with_fingerprints(some_texts, size, FINE, distinct=True).select("id", F.col("fp").alias("fine")).dropDuplicates(["id"])
+    pairs = written(proposed(grouped.join(written(fine, "fine"), "id"), near, FINE, min_similarity - NEAR, min_similarity, hot), "proposed")
+    # Of each two groups the likeliest pair is decided first; what that joins needs no more pairs.
+    best = pairs.groupBy(F.least("group_a", "group_b"), F.greatest("group_a", "group_b")).agg(F.max(F.struct("estimate", "a", "b", "group_a", "group_b")).alias("x")).select("x.a", "x.b", "x.group_a", "x.group_b")
+    best = written(best, "best")
+    likely = verified(best.select("a", "b"), texts, size, min_similarity)
+    joined = written(connected_components(likely.join(best, ["a", "b"]), "group_a", "group_b"), "joined")
+    of = lambda end: joined.select(F.col("node").alias(f"group_{end}"), F.col("component").alias(f"joined_{end}"))
+    left = pairs.join(of("a"), "group_a", "left").join(of("b"), "group_b", "left").where(F.coalesce("joined_a", "group_a") != F.coalesce("joined_b", "group_b"))
+    rest = verified(left.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), texts, size, min_similarity)
+    found = connected_components(first.unionAll(likely).unionAll(rest))
     label = written(same.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "best"), "labels")
     label = label.join(label.groupBy("component").agg(F.min("best").alias("least")), "component")
     is_first = (F.col("id") == F.col("least.id")) & (F.col("row_key") == F.col("least.row_key"))
