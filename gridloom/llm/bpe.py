@@ -2,14 +2,14 @@
 
 A vocabulary is a list of byte strings with ranks; merging always takes the
 adjacent pair of lowest rank. Instead of merging, the encoder walks a piece from
-left to right. An Aho-Corasick automaton over the tokens (bytes mapped to
-Latin-1 characters, as pyahocorasick works on text) gives the longest token that
+left to right. An Aho-Corasick automaton over the reversed tokens (bytes mapped to
+Latin-1 characters, as pyahocorasick works on text) gives, in one pass over the reversed piece, the longest token that
 starts at each place. The walk takes it if it may stand after the previous
 token, else shorter prefixes of it, and steps back when none fits. Two tokens
 may stand side by side if merging their joint bytes gives just these two; that
 answer depends on the two tokens alone and is memoised. A sequence whose
 neighbours are all compatible is the one that merging gives, and places once
-left are never tried again, so a piece takes linear time.
+left are never tried again, so a piece takes linear time, and memory of a few words a byte.
 
 Nulls: a null text counts as empty and gives no ids; null ids decode to no
 bytes. Other columns of the input are kept as they are; a column that has the
@@ -79,7 +79,7 @@ class Tokenizer:
                     parts[r] = (a, b)
                     break
             if parts[r]:
-                self.automaton.add_word(token.decode("latin-1"), r)
+                self.automaton.add_word(token[::-1].decode("latin-1"), r)
         self.automaton.make_automaton()
 
     def _stand(self, a: int, b: int, limit: int) -> bool:
@@ -124,11 +124,15 @@ class Tokenizer:
         whole = self.rank.get(piece)
         if whole is not None:
             return [whole]
-        text, n, size, fits, longest = piece.decode("latin-1"), len(piece), self.size, self.fits, self.automaton.iter_long
+        n, size, fits = len(piece), self.size, self.fits
+        longest: list[int | None] = [None] * n
+        for at, r in self.automaton.iter(piece[::-1].decode("latin-1")):  # of one place the longest comes first
+            if longest[n - 1 - at] is None:
+                longest[n - 1 - at] = r
         closed: set[int] = set()
         ids: list[int] = []
         at, last = 0, -1
-        r: int | None = next(longest(text))[1]
+        r: int | None = longest[0]
         while True:
             while r is not None:
                 end = at + size[r]
@@ -144,7 +148,7 @@ class Tokenizer:
                 if end == n:
                     return ids
                 at, last = end, r
-                r = next(longest(text, at))[1]
+                r = longest[at]
             else:
                 closed.add(at)
                 r = ids.pop()

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -44,6 +45,21 @@ def test_bpe_matches_merging(coder):
         assert ours.decode(got) == t.encode()
 
 
+def test_bpe_long_pieces(coder):
+    """One piece of many letters: the ids of merging, in time that grows with the letters alone."""
+    ours, theirs = coder
+    rng = random.Random(8)
+    letters = "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(1_000_000))
+    for t in (letters[:20_000], "a" * 30_001, "ab" * 10_000, "é" * 9_999):
+        assert ours.encode(t) == b"".join(i.to_bytes(4, "little") for i in theirs.encode_ordinary(t))
+    took = []
+    for n in (100_000, 1_000_000):
+        began = time.process_time()
+        assert ours.decode(ours.encode(letters[:n])) == letters[:n].encode()
+        took.append(time.process_time() - began)
+    assert took[1] <= 20 * took[0]
+
+
 def test_op3(spark, documents, coder):
     _, theirs = coder
     want = {}
