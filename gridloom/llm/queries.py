@@ -20,7 +20,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.write_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).read_all()
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.write_pages(pages).lookup_all(pages)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,9 @@ Writing: records with equal payloads of ``DEDUP_BYTES`` or more are written once
 by the smallest page id; the others are revisits of it. Each task writes archives of gzip members, one a
 record, and reports where each record stands. Index: captures sorted by
 reversed-host URL key are packed into compressed blocks, and a sparse directory
-holds each block's first key and place. A lookup bisects the directory, reads
-one block by its range, bisects its lines, and reads the record by its range.
-Reading everything goes through the same blocks, then reads each archive in the
-order of offsets, joining neighbouring ranges.
+holds each block's first key and place. A lookup bisects the files' first keys, then the directory of each file, reads
+the block by its range, bisects its lines, and reads the record by its range. Many URLs are looked up at once: the keys
+are dealt out by file, and what is found is read archive by archive in the order of offsets, neighbouring ranges as one.
 
 Files are in the shared folder and are opened through ``pyarrow.fs``. A task that
 is run again writes files of new names, and only those that a finished task has
@@ -22,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,6 +38,12 @@ from gridloom.llm.common import batch_of, ready, scratch, written
 DEDUP_BYTES = 100
 ARCHIVE_BYTES = 64 << 20
 BLOCK_LINES = 1000
+#: Lines of a file of blocks, about, and files at most: the driver holds and broadcasts the files' first keys.
+FILE_LINES, FILES = 16_000, 20_000
+#: Pages from which on a digest can be so frequent that its first page is broadcast, and such digests at most.
+HOT, HOT_DIGESTS = 1000, 10_000
+#: Bytes of archives that a task reads, about.
+READ_BYTES = 64 << 20
 JOIN_GAP, JOIN_BYTES = 64 << 10, 4 << 20
 DATE = "1970-01-01T00:00:00Z"
 
@@ -119,9 +125,15 @@ def with_types(pages: DataFrame, id_col: str = "page_id", url: str = "url", html
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
     shared = F.col("size") >= DEDUP_BYTES
     first = rows.where(shared).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = written(first.select("digest", "first"), "first")
-    refers = F.when(shared & (F.col("first") != F.col("page_id")), F.col("first"))
-    out = rows.join(first, "digest", "left").withColumn("refers_to", refers)
+    first = written(first, "first")
+    most = max(HOT, (first.agg(F.sum("n")).first()[0] or 0) // HOT_DIGESTS)
+    hot = first.where(F.col("n") >= most).select("digest", F.col("first").alias("hot_first"))
+    seen = rows.join(F.broadcast(hot), "digest", "left")
+    # Payloads of frequent digests have what they need, so they are spread by a key of their own.
+    seen = seen.withColumn("by", F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(F.xxhash64("page_id", "url").cast("string")))
+    out = seen.join(first.where(F.col("n") < most).select(F.col("digest").alias("by"), "first"), "by", "left")
+    one = F.coalesce("hot_first", "first")
+    out = out.withColumn("refers_to", F.when(shared & (one != F.col("page_id")), one))
     return out.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
 
 
@@ -155,7 +167,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     return written(records.mapInArrow(run, _CAPTURES), "captures")
 
 
-_BLOCKS = pa.schema([("first_key", pa.string()), ("first_page", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int64())])
+_BLOCKS = pa.schema([("first_key", pa.string()), ("first_page", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int64()), ("bytes", pa.int64())])
 
 
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
@@ -176,7 +188,7 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
                 out = store.open_output_stream(f"{path}/{name}", compression=None)
             raw = zlib.compress("\n".join("\t".join(map(str, x)) for x in lines).encode(), 6)
             out.write(raw)
-            blocks.append((lines[0][0], lines[0][1] if lines[0][1] != "" else None, name, at, len(raw), len(lines)))
+            blocks.append((lines[0][0], lines[0][1] if lines[0][1] != "" else None, name, at, len(raw), len(lines), sum(x[4] for x in lines)))
             at += len(raw)
             lines.clear()
 
@@ -192,8 +204,9 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
             yield batch_of(_BLOCKS, *zip(*blocks, strict=True))
 
     order = ["key", "page_id", "archive", "offset"]
-    dealt = captures.repartitionByRange(*order).sortWithinPartitions(*order)
-    return written(dealt.mapInArrow(pack, "first_key string, first_page long, file string, offset long, length long, lines long"), "directory")
+    files = min(FILES, max(1, -(-captures.count() // FILE_LINES)))
+    dealt = captures.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    return written(dealt.mapInArrow(pack, "first_key string, first_page long, file string, offset long, length long, lines long, bytes long"), "directory")
 
 
 def read_range(store: fs.FileSystem, path: str, offset: int, length: int) -> bytes:
@@ -206,67 +219,83 @@ def block_lines(store: fs.FileSystem, folder: str, file: str, offset: int, lengt
     return [x.split("\t") for x in raw.split("\n")]
 
 
+def _may_hold(firsts: list[str], key: str) -> range:
+    """Of parts in order, given their first keys, those that may hold a key: one that is captured very often is in several."""
+    return range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key))
+
+
 class CaptureIndex:
     """Archives and index of one writing."""
 
     def __init__(self, spark: SparkSession, archives: str, blocks: str, directory: DataFrame) -> None:
         self.spark, self.archives, self.blocks, self.directory = spark, archives, blocks, directory
-        #: First key of each file of blocks: as many rows as the index has tasks.
+        #: First key of each file of blocks, in order: ``FILES`` at most.
         self.files = sorted((tuple(r) for r in directory.groupBy("file").agg(F.min("first_key").alias("k")).select("k", "file").collect()))
+        self.bytes = directory.agg(F.sum("bytes")).first()[0] or 0
 
-    def lookup(self, url: str) -> list[Capture]:
-        """All captures of a URL. Of the directory, only the rows of the files that may hold the key are read."""
-        key = url_key(url)
-        keys = [k for k, _ in self.files]
-        lo, hi = bisect.bisect_left(keys, key), bisect.bisect_right(keys, key)
-        near = [f for _, f in self.files[max(0, lo - 1) : hi]]
-        found = self.directory.where(F.col("file").isin(near) & (F.col("first_key") <= key))
-        store, path = opened(self.blocks)
-        archives, folder = opened(self.archives)
-        out = []
-        for file in near:
-            rows = sorted(tuple(r) for r in found.where(F.col("file") == file).select("offset", "first_key", "length").collect())
-            firsts = [k for _, k, _ in rows]
-            for offset, _, length in rows[max(0, bisect.bisect_left(firsts, key) - 1) :]:
-                lines = block_lines(store, path, file, offset, length)
-                at = bisect.bisect_left(lines, key, key=lambda x: x[0])
-                while at < len(lines) and lines[at][0] == key:
-                    _, _, archive, start, size = lines[at]
-                    out.append(parse(read_range(archives, f"{folder}/{archive}", int(start), int(size))))
-                    at += 1
-        return out
-
-    def read_all(self, payloads: bool = False) -> DataFrame:
-        """Every record, found through the index and read from the archives."""
-        blocks, archives = self.blocks, self.archives
-
-        def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            store, path = opened(blocks)
-            schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    def places(self, urls: DataFrame, url: str = "url") -> DataFrame:
+        """``(key, archive, offset, length)`` of all captures of the URLs, by bisection. A null URL is that of captures without one."""
+        blocks, files = self.blocks, self.spark.sparkContext.broadcast(self.files)
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            firsts = [k for k, _ in files.value]
             for batch in batches:
-                for r in batch.to_pylist():
-                    lines = block_lines(store, path, r["file"], r["offset"], r["length"])
-                    yield batch_of(schema, [x[2] for x in lines], [int(x[3]) for x in lines], [int(x[4]) for x in lines])
+                found = [(url_key(u), files.value[i][1]) for u in batch.column(0).to_pylist() for i in _may_hold(firsts, url_key(u))]
+                yield batch_of(pa.schema([("key", pa.string()), ("file", pa.string())]), [k for k, _ in found], [f for _, f in found])
+
+        def find(wanted: pa.Table, directory: pa.Table) -> pa.Table:
+            store, path = opened(blocks)
+            rows = sorted(zip(*(directory.column(c).to_pylist() for c in ("offset", "first_key", "length", "file")), strict=True))
+            firsts, out = [k for _, k, _, _ in rows], []
+            held, lines = -1, []
+            for key in sorted(wanted.column("key").to_pylist()):
+                for i in _may_hold(firsts, key):
+                    if i != held:
+                        held, lines = i, block_lines(store, path, rows[i][3], rows[i][0], rows[i][2])
+                    at = bisect.bisect_left(lines, key, key=lambda x: x[0])
+                    while at < len(lines) and lines[at][0] == key:
+                        out.append((key, lines[at][2], int(lines[at][3]), int(lines[at][4])))
+                        at += 1
+            columns = zip(*out, strict=True) if out else ([], [], [], [])
+            return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "archive", "offset", "length"])
+
+        keys = urls.select(F.col(f"`{url}`").cast("string").alias("url")).distinct().mapInArrow(deal, "key string, file string").distinct()
+        held = self.directory.select("file", "offset", "first_key", "length")
+        return keys.groupBy("file").cogroup(held.groupBy("file")).applyInArrow(find, "key string, archive string, offset long, length long")
+
+    def read(self, places: DataFrame, payloads: bool = False) -> DataFrame:
+        """The records at ``(archive, offset, length)``."""
+        archives = self.archives
 
         def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, path = opened(archives)
             names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
             schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()], strict=True)))
             for batch in batches:
-                out: list[tuple] = []
                 for archive, start, ranges in _joined(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
                     raw = read_range(store, f"{path}/{archive}", start, ranges[-1][0] + ranges[-1][1] - start)
+                    out: list[tuple] = []
                     for offset, length in ranges:
                         c = parse(raw[offset - start : offset - start + length])
                         out.append((c.page_id, c.payload_bytes, c.payload_digest, c.record_type, c.refers_to, c.payload if payloads else None))
-                if out:
                     yield batch_of(schema, *zip(*out, strict=True))
 
-        found = self.directory.select("file", "offset", "length").repartition("file", "offset").mapInArrow(captures, "archive string, offset long, length long")
-        dealt = found.repartition("archive", F.floor(F.col("offset") / JOIN_BYTES)).sortWithinPartitions("archive", "offset")
+        # An explicit number, as the places say little about the bytes behind them.
+        tasks = max(math.ceil(self.bytes / READ_BYTES), min(math.ceil(self.bytes / JOIN_BYTES), 2 * self.spark.sparkContext.defaultParallelism), 1)
+        dealt = places.select("archive", "offset", "length").repartition(tasks, "archive", F.floor(F.col("offset") / JOIN_BYTES)).sortWithinPartitions("archive", "offset")
         out = dealt.mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
         return out if payloads else out.drop("payload")
 
+    def lookup_all(self, urls: DataFrame, url: str = "url", payloads: bool = False) -> DataFrame:
+        """All captures of the URLs, each once. Revisits have no payload."""
+        return self.read(self.places(urls, url), payloads)
+
+    def lookup(self, url: str | None) -> list[Capture]:
+        """All captures of one URL, by page."""
+        rows = self.lookup_all(self.spark.createDataFrame([(url,)], "url string"), payloads=True).collect()
+        found = [Capture(r.page_id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in rows]
+        return sorted(found, key=lambda c: (c.page_id is None, c.page_id or 0))
+
 
 def _joined(rows: Iterator[tuple[str, int, int]]) -> Iterator[tuple[str, int, list[tuple[int, int]]]]:
     """Neighbouring ranges of an archive as one read."""
