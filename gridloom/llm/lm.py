@@ -4,12 +4,15 @@ Counts are taken over all training documents. Unigram counts stay exact: each ch
 64-bit hashes. Bigram counts are quantised on a logarithmic scale, and an n-gram of level q is put into a Bloom filter
 q times, with the levels 1 to q. A count is read back by probing level after level until one
 is missing. The score is Dirichlet-smoothed: (c(v,w) + K p(w)) / (c(v) + K), with p the add-half unigram probability.
+A count read back is the middle of its level, at most a quarter off, so after any v the probabilities of all words and the end sum to between 0.75 and 1.25
+(with exact counts to 1); a false positive adds one level, with a chance of about 0.01.
 
 Every bigram is in the filter. It is built in segments of the hash space, each by one task, which answers the chunks that
 ask for bigrams of its segment, as for unigrams; so no machine holds more than a segment, whatever the corpus.
 
 A text's tokens are its words, A to Z in lower case, and one end. Null texts have the end alone. A null id counts as the empty text when rows are split
-into training and held-out ones. Repeated rows count and are scored each. With nothing to learn from, V and N are 0
+into training and held-out ones. Repeated rows, and rows of one id, count and are scored each; nothing depends on their order. Only the two named columns are
+read, whatever others are called. A text of any length is part of one chunk, whose task holds it and its tokens (some 50 bytes a token). With nothing to learn from, V and N are 0
 and every token has probability 1 (0.5 / 0.5). Empty tables give empty tables.
 """
 
@@ -29,7 +32,8 @@ from gridloom.llm.exchange import Answers, Chunk, Merged, blobs, chunks, exchang
 BITS_PER_ITEM = 10
 HASHES = 5
 LOG_BASE = 1.5
-LEVELS = 48
+#: Enough for counts of 64 bits, so none is cut.
+LEVELS = 110
 STRENGTH = 30.0
 END, START = np.uint64(0x51ED270B7A3F1C55), np.uint64(0xC2B2AE3D27D4EB4F)
 

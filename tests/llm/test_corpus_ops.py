@@ -101,6 +101,28 @@ def test_lm_keeps_every_bigram(docs_of):
     assert sum(off) / len(off) < 0.01 and max(off) < 0.05  # what a filter reads too much
 
 
+def test_lm_probabilities_sum_to_one():
+    """After each word, over all words and the end, with counts as a filter keeps them."""
+    rng = random.Random(9)
+    texts = [[*(f"w{int(rng.paretovariate(0.6)) % 200}" for _ in range(80)), None] for _ in range(150)]
+    one, two = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(["^", *t], t))
+    n, v = sum(one.values()), len(one)
+    keys = {p: np.uint64(i * 0x9E3779B97F4A7C15 % 2**64) for i, p in enumerate((a, b) for a in ["^", *one] for b in one)}
+    seen = sorted(two, key=lambda p: keys[p])
+    kept = lm.Filter([(0, *lm.build_filter(np.array([keys[p] for p in seen], np.uint64), np.array([two[p] for p in seen])))], 1)
+    sums = []
+    for a in ["^", *(w for w in one if w is not None)]:
+        before = len(texts) if a == "^" else one[a]
+        read = kept.counts(np.array([keys[a, b] for b in one], np.uint64))
+        read = np.minimum(read, np.minimum(before, np.array([one[b] for b in one])))
+        unseen = 0.5 / (n + 0.5 * (v + 1))  # what unigrams leave to words that were never seen
+        sums.append(sum((r + lm.STRENGTH * (one[b] + 0.5) / (n + 0.5 * (v + 1))) / (before + lm.STRENGTH) for b, r in zip(one, read)) + lm.STRENGTH * unseen / (before + lm.STRENGTH))
+    # false positives: of so many pairs never seen a hundredth counts one
+    slack = 0.02 * len(one) / lm.STRENGTH
+    assert all(0.75 <= s <= 1.25 + slack for s in sums) and abs(sum(sums) / len(sums) - 1) < 0.1 + slack
+    assert lm.count_of(lm.level_of(np.array([2**62]))) > 2**61  # no ceiling
+
+
 def brute_repeats(docs, window=50):
     words = [(d, WORD.findall(t or "")) for d, t in docs]
     first = {}
