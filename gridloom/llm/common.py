@@ -9,24 +9,27 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the shared folder is when spark.checkpoint.dir is unset (single-machine runs and tests).
+#: Where the shared folder is when spark.checkpoint.dir is unset and driver and executors are one process (tests).
 LOCAL_SHARED = "file:///tmp/checkpoints/gridloom"
 
-#: Rows per Arrow batch: documents can be long, so batches stay small.
-ARROW_ROWS = 256
+#: Rows, and bytes about, of an Arrow batch at most: documents can be long, so batches stay small. A batch has one row at least.
+ARROW_ROWS, ARROW_BYTES = 256, 32 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Session settings the operators rely on: small Arrow batches, this package on the workers' path."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Session settings the operators rely on, kept by the session as plans are run later: small Arrow batches, this package on the workers' path."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -36,17 +39,42 @@ def ready(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or LOCAL_SHARED).rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Paths made so far: those of the process, then those of each open ``temporary``.
+_made: list[list[str]] = [[]]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def scratch(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A new path in the shared folder; it goes with the innermost ``temporary``, or the one around that, or ``clean_up``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[-2 if outer and len(_made) > 1 else -1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at its end, but for those written with ``outer``."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        drop(spark, *_made.pop())
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete what this process has left in the shared folder; results that were not written elsewhere can't be read any more."""
+    drop(spark, *_made[0])
+    _made[0].clear()
+
+
+def written(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut, safe from lost executors."""
-    path = scratch(df.sparkSession, name)
+    path = scratch(df.sparkSession, name, outer)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -63,6 +91,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with reserved names for all columns but those ``used``, and a function that gives back columns and names as they were."""
+    names = [c if c in used else f"\u0001u{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda out: out.select(*(F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns, strict=True)))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with names that say nothing: functions over Arrow batches go by position, and Spark takes no dots in the names of their input."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def row_key(columns: Iterable[str]) -> Column:
     """A 64-bit hash of a row's values, which tells null from absent."""
     return F.xxhash64(*(x for c in columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())))

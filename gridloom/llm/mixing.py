@@ -10,10 +10,11 @@ the quota is met. What a document gives is the overlap of its words with those
 blocks, so whole runs of documents are taken.
 
 Only per-source and per-shard sums reach the driver; shards are at most
-``SHARDS`` more than there are sources, whatever the data's size.
+``SHARDS`` more than there are sources, whatever the data's size. More than ``SOURCES`` sources are an error.
 
 Null texts have no words. A null source is a source of its own, last in order.
-Rows of one id are documents of their own. Documents without words give none.
+Rows of one id are documents of their own; repeated rows are alike to the plan, and each has its own part of it. Documents without words give none.
+Columns of any other name stay as they are, whatever they are called. Texts are held one at a time, so a long one costs its own size.
 """
 
 from __future__ import annotations
@@ -28,25 +29,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ready, row_key, utf8, written
+from gridloom.llm.common import numbered, ready, row_key, utf8, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARDS = 1 << 16
+#: Sources whose sums the driver holds and broadcasts, at most: some 20 MB.
+SOURCES = 1 << 18
 SHARD_WORDS = 1 << 20
 BLOCK_WORDS = 128
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], repeats: float) -> list[float]:
     """Shares of the sum of ``sizes``; what is above ``repeats`` times a size is shared anew until nothing is."""
-    capped: set[int] = set()
-    while True:
-        free = [i for i in range(len(sizes)) if i not in capped]
-        left = sum(sizes) - repeats * sum(sizes[i] for i in capped)
-        total = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / total > repeats * sizes[i]]
-        if not over:
-            return [repeats * s if i in capped else left * weights[i] / total for i, s in enumerate(sizes)]
-        capped.update(over)
+    out = [float(repeats * s) for s in sizes]
+    left, total = sum(sizes), sum(weights)
+    order = sorted(range(len(sizes)), key=lambda i: sizes[i] / weights[i])  # those that reach their limit first come first
+    for at, i in enumerate(order):
+        if left * weights[i] / total <= repeats * sizes[i]:
+            for j in order[at:]:
+                out[j] = left * weights[j] / total
+            break
+        left, total = left - repeats * sizes[i], total - weights[i]
+    return out
 
 
 def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int]) -> list[int]:
@@ -92,7 +96,7 @@ def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
             sizes = pa.array([len(t.split()) for t in utf8(batch.column(batch.num_columns - 1))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sizes], names=[*keep, "size"])
 
-    return source.mapInArrow(run, docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(0).cast("long").alias("size")).schema)
+    return numbered(source).mapInArrow(run, docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(0).cast("long").alias("size")).schema)
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, repeats: int = 3, seed: int = 17) -> DataFrame:
@@ -105,13 +109,15 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", te
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), row_key([id_col, source, text]).alias("row_key"))
     sized = written(with_sizes(narrow), "sizes")
     found = sorted(((r.source, r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
+    if len(found) > SOURCES:
+        raise ValueError(f"{len(found)} sources; a mix has {SOURCES} at most")
     total = sum(n for _, n in found)
     goal = targets([n for _, n in found], [weights[i % len(weights)] for i in range(len(found))], repeats)
     block = max(1, min(BLOCK_WORDS, total // (256 * max(1, len(found)))))
     per_shard = max(SHARD_WORDS, -(-total // SHARDS))
     sources = [(i, s, n, g, max(1, -(-n // per_shard))) for i, ((s, n), g) in enumerate(zip(found, goal, strict=True))]
     source_rows = spark.createDataFrame(sources, "i int, source_name string, source_size long, target double, shards int")
-    order = F.xxhash64(F.lit(seed), F.col("id").cast("string"))
+    order = F.xxhash64(F.lit(seed), F.col("id").cast("string"), F.when(F.col("id").isNull(), F.col("row_key")))
     dealt = sized.join(F.broadcast(source_rows), F.col("source").eqNullSafe(F.col("source_name"))).withColumn("order", order)
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("order"), F.col("shards")).cast("int"))
     sums: dict[int, list[tuple[int, int]]] = {}
@@ -127,7 +133,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", te
             times, more = divmod(quota, n)
             quotas.append((i, shard, times, start * block, (start + more) * block, max(0, start + more - n) * block))
     shard_rows = spark.createDataFrame(quotas, "i int, shard int, times int, first long, after long, again long")
-    before = Window.partitionBy("i", "shard").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("i", "shard").orderBy("order", "id", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0))).join(F.broadcast(shard_rows), ["i", "shard"], "left")
     inside = lambda word: F.greatest(F.lit(0), F.least(F.col("size"), F.coalesce(word, F.lit(0)) - F.col("at")))
     out = placed.withColumns({"lo": inside(F.col("first")), "hi": inside(F.col("after")), "wrap": inside(F.col("again")), "times": F.coalesce("times", F.lit(0))})
@@ -143,9 +149,10 @@ def mixed_documents(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", te
     keep = docs.columns
     ready(docs.sparkSession)
     nth = F.row_number().over(Window.partitionBy("\u0001key").orderBy("\u0001key")).alias("\u0001nth")
-    cut = plan.select(F.col("row_key").alias("\u0001key"), "times", "lo", "hi", "wrap", "taken").select("*", nth).where("taken > 0").drop("taken")
+    steps = [f"\u0001{c}" for c in ("times", "lo", "hi", "wrap")]
+    cut = plan.select(F.col("row_key").alias("\u0001key"), *(F.col(c[1:]).alias(c) for c in steps), F.col("taken").alias("\u0001taken")).select("*", nth).where(F.col("`\u0001taken`") > 0)
     keyed = docs.select(*(F.col(f"`{c}`") for c in keep), row_key([id_col, source, text]).alias("\u0001key")).select("*", nth)
-    chosen = keyed.join(cut, ["\u0001key", "\u0001nth"]).select(*(F.col(f"`{c}`") for c in keep), "times", "lo", "hi", "wrap")
+    chosen = keyed.join(cut, ["\u0001key", "\u0001nth"]).select(*(F.col(f"`{c}`") for c in [*keep, *steps]))
     at = keep.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +172,7 @@ def mixed_documents(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", te
             taken[at] = pa.array(texts, taken[at].type)
             yield pa.RecordBatch.from_arrays(taken, names=keep)
 
-    return chosen.mapInArrow(run, docs.schema)
+    return numbered(chosen).mapInArrow(run, docs.schema)
 
 
 _SPACE = np.zeros(256, bool)

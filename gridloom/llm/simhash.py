@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch_of, key_blocks, ready, row_key, runs, utf8, written
+from gridloom.llm.common import batch_of, key_blocks, numbered, ready, row_key, runs, temporary, utf8, written
 from gridloom.llm.components import connected_components
 
 #: Members up to which a list's pairs are compared one with another.
@@ -126,7 +126,7 @@ def with_fingerprints(docs: DataFrame, size: int, lanes: int = 1, text: str = "t
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary())], names=[*keep, "fp", "n_shingles", "words_key"])
 
     ready(docs.sparkSession)
-    return source.mapInArrow(run, docs.select(*(F.col(f"`{c}`") for c in keep), *cols).schema)
+    return numbered(source).mapInArrow(run, docs.select(*(F.col(f"`{c}`") for c in keep), *cols).schema)
 
 
 # ---------------------------------------------------------------------- index
@@ -523,15 +523,17 @@ def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text: str =
     """``(id, fingerprint, component_id)`` for each row: links at ``max_bits`` or fewer differing bits of 64-bit fingerprints.
 
     Rows with a null id keep a null component if nothing with an id shares their
-    fingerprint; they link nothing. Repeated ids are rows like any others.
+    fingerprint; they link nothing. Repeated rows and ids are rows like any others, so of ties all get the same component. Null and
+    blank texts have the fingerprint zero. Only the two named columns are read, whatever others are called. Texts are fingerprinted one at a time.
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = written(with_fingerprints(source, size).select("id", "fp"), "fingerprints")
-    same = written(rows.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    many = same.select(F.col("rep").alias("id"), F.lit(1).cast("long").alias("n"), "fp")
-    found = connected_components(links(many, exact_index(max_bits), hot))
-    label = same.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    label = written(label, "labels")
+    with temporary(ready(docs.sparkSession)):
+        rows = written(with_fingerprints(source, size).select("id", "fp"), "fingerprints", outer=True)
+        same = written(rows.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
+        many = same.select(F.col("rep").alias("id"), F.lit(1).cast("long").alias("n"), "fp")
+        found = connected_components(links(many, exact_index(max_bits), hot))
+        label = same.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+        label = written(label, "labels", outer=True)
     return rows.join(label, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
@@ -544,36 +546,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     The fingerprints only propose pairs; what links is decided by shingle hashes. Close pairs come first, a spanning forest of
     each list. Texts that may be linked with one of another group then get fine fingerprints, and pairs whose fine estimate is
     near the wanted similarity are decided: first one of each two groups, then all between groups that are still apart.
-    Null or blank texts are copies of one another.
+    Null or blank texts are copies of one another. Rows with a null id are left out; of repeated rows each is ``first`` if one is. Column names
+    don't clash with anything here. A text of any length is fingerprinted by itself; its set of shingle hashes has 8 bytes a shingle.
+    An empty table gives an empty one.
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), row_key(docs.columns).alias("row_key")).where("id is not null")
-    rows = with_fingerprints(source, size, lanes, distinct=True).withColumn("node", F.xxhash64("words_key"))
-    rows = written(rows.select("node", "id", "row_key", "fp", F.col("n_shingles").alias("n")), "fingerprints")
-    same = written(rows.groupBy("node").agg(F.min(F.struct("id", "row_key")).alias("best"), F.first("n").alias("n"), F.first("fp").alias("fp")), "distinct")
-    some = same.where("n > 0").select(F.col("node").alias("id"), "n", "fp")
-
-    def texts(ids: DataFrame) -> DataFrame:
-        keys = same.join(ids, F.col("node") == F.col("id"), "left_semi").select("node", F.col("best.row_key").alias("row_key"), F.col("best.id").alias("id"))
-        return source.join(keys, ["id", "row_key"]).select(F.col("node").alias("id"), "text")
-
-    near = wide_index(some.count(), lanes, min_similarity, min_similarity - LOOSE)
-    close = replace(near, sets=near.sets[:FIRST], min_similarity=min_similarity + LOOSE / 3)
-    first = verified(written(links(some, close, hot).distinct(), "close"), texts, size, min_similarity)
-    groups = connected_components(first).select(F.col("node").alias("id"), "component")
-    grouped = written(some.join(groups, "id", "left").select("id", "n", "fp", F.coalesce("component", "id").alias("group")), "groups")
-    some_texts = texts(written(flagged(grouped, near, hot), "flagged")).select("id", "text")
-    fine = with_fingerprints(some_texts, size, FINE, distinct=True).select("id", F.col("fp").alias("fine")).dropDuplicates(["id"])
-    pairs = written(proposed(grouped.join(written(fine, "fine"), "id"), near, FINE, min_similarity - NEAR, min_similarity, hot), "proposed")
-    # Of each two groups the likeliest pair is decided first; what that joins needs no more pairs.
-    best = pairs.groupBy(F.least("group_a", "group_b"), F.greatest("group_a", "group_b")).agg(F.max(F.struct("estimate", "a", "b", "group_a", "group_b")).alias("x")).select("x.a", "x.b", "x.group_a", "x.group_b")
-    best = written(best, "best")
-    likely = verified(best.select("a", "b"), texts, size, min_similarity)
-    joined = written(connected_components(likely.join(best, ["a", "b"]), "group_a", "group_b"), "joined")
-    of = lambda end: joined.select(F.col("node").alias(f"group_{end}"), F.col("component").alias(f"joined_{end}"))
-    left = pairs.join(of("a"), "group_a", "left").join(of("b"), "group_b", "left").where(F.coalesce("joined_a", "group_a") != F.coalesce("joined_b", "group_b"))
-    rest = verified(left.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), texts, size, min_similarity)
-    found = connected_components(first.unionAll(likely).unionAll(rest))
-    label = written(same.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "best"), "labels")
+    with temporary(ready(docs.sparkSession)):
+        rows = with_fingerprints(source, size, lanes, distinct=True).withColumn("node", F.xxhash64("words_key"))
+        rows = written(rows.select("node", "id", "row_key", "fp", F.col("n_shingles").alias("n")), "fingerprints", outer=True)
+        same = written(rows.groupBy("node").agg(F.min(F.struct("id", "row_key")).alias("best"), F.first("n").alias("n"), F.first("fp").alias("fp")), "distinct")
+        some = same.where("n > 0").select(F.col("node").alias("id"), "n", "fp")
+
+        def texts(ids: DataFrame) -> DataFrame:
+            keys = same.join(ids, F.col("node") == F.col("id"), "left_semi").select("node", F.col("best.row_key").alias("row_key"), F.col("best.id").alias("id"))
+            return source.join(keys, ["id", "row_key"]).select(F.col("node").alias("id"), "text")
+
+        near = wide_index(some.count(), lanes, min_similarity, min_similarity - LOOSE)
+        close = replace(near, sets=near.sets[:FIRST], min_similarity=min_similarity + LOOSE / 3)
+        first = verified(written(links(some, close, hot).distinct(), "close"), texts, size, min_similarity)
+        groups = connected_components(first).select(F.col("node").alias("id"), "component")
+        grouped = written(some.join(groups, "id", "left").select("id", "n", "fp", F.coalesce("component", "id").alias("group")), "groups")
+        some_texts = texts(written(flagged(grouped, near, hot), "flagged")).select("id", "text")
+        fine = with_fingerprints(some_texts, size, FINE, distinct=True).select("id", F.col("fp").alias("fine")).dropDuplicates(["id"])
+        pairs = written(proposed(grouped.join(written(fine, "fine"), "id"), near, FINE, min_similarity - NEAR, min_similarity, hot), "proposed")
+        # Of each two groups the likeliest pair is decided first; what that joins needs no more pairs.
+        best = pairs.groupBy(F.least("group_a", "group_b"), F.greatest("group_a", "group_b")).agg(F.max(F.struct("estimate", "a", "b", "group_a", "group_b")).alias("x")).select("x.a", "x.b", "x.group_a", "x.group_b")
+        best = written(best, "best")
+        likely = verified(best.select("a", "b"), texts, size, min_similarity)
+        joined = written(connected_components(likely.join(best, ["a", "b"]), "group_a", "group_b"), "joined")
+        of = lambda end: joined.select(F.col("node").alias(f"group_{end}"), F.col("component").alias(f"joined_{end}"))
+        left = pairs.join(of("a"), "group_a", "left").join(of("b"), "group_b", "left").where(F.coalesce("joined_a", "group_a") != F.coalesce("joined_b", "group_b"))
+        rest = verified(left.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), texts, size, min_similarity)
+        found = connected_components(first.unionAll(likely).unionAll(rest))
+        label = written(same.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "best"), "labels", outer=True)
     label = label.join(label.groupBy("component").agg(F.min("best").alias("least")), "component")
     is_first = (F.col("id") == F.col("least.id")) & (F.col("row_key") == F.col("least.row_key"))
     return rows.join(label, "node").select(F.col("id").alias(id_col), "row_key", F.col("least.id").alias("component_id"), is_first.alias("first"))

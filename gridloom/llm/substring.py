@@ -11,8 +11,9 @@ into maximal repeats and takes their words out.
 Hits of pass 1 are candidates only, so its hashes may be short; those of pass 2 have 96 bits.
 
 Null or blank texts have no words. Documents with a null id are left as they
-are, and remove nothing. Documents of one id don't remove words from one another; neither does a document from itself. Empty tables give
-empty tables.
+are, and remove nothing. Documents of one id, repeated rows among them, don't remove words from one another; neither does a document from itself. Empty tables give
+empty tables. Only the two named columns are read, whatever others are called. A text of any length is part of one chunk, whose task holds it (some
+100 bytes a word).
 """
 
 from __future__ import annotations

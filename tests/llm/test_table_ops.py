@@ -90,13 +90,13 @@ def test_warc_edges(spark):
     rows = [(1, "http://Www.Example.com/a?b=1", big), (2, "http://www.example.com/a?b=1", big), (3, None, None), (4, "", "short"), (5, "https://x.org:8080/ü z\r\n", "short"), (6, "http://[bad", "y" * 99), (7, "http://x.org/", big + "\r\n\r\nWARC/1.1")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     index = warc.write_pages(pages.withColumn("digest", F.lit(1)))
-    got = {r.page_id: r for r in index.read_all(payloads=True).collect()}
+    got = {r.page_id: r for r in index.lookup_all(pages, payloads=True).collect()}
     want = brute_pages([(p, h) for p, _, h in rows])
     assert {p: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for p, r in got.items()} == want
     assert bytes(got[7].payload).decode() == rows[6][2] and got[2].payload is None
     assert [c.page_id for c in index.lookup("http://www.example.com/a?b=1")] == [1, 2]
     assert [c.page_id for c in index.lookup("http://[bad")] == [6] and index.lookup("http://no.where/") == []
-    assert warc.write_pages(pages.where("false")).read_all().count() == 0
+    assert warc.write_pages(pages.where("false")).lookup_all(pages).count() == 0
     assert warc.url_key("http://www.example.com:80/A?q") == "com,example,www)/A?q"
 
 
@@ -217,3 +217,60 @@ def test_vectors_edges(spark, hot):
     assert got == brute_vectors(rows)
     assert embeddings.near_vectors(df.where("false")).count() == 0
     assert embeddings.near_vectors(df.withColumn("vec_id", F.lit(None).cast("long")).limit(3)).collect()[0].n_links == 0
+
+
+def test_secrets_in_texts_with_many_matches(docs_of):
+    """Blocks of matches: the same spans and marks as one walk over all gives."""
+    rng = random.Random(6)
+    texts = []
+    for n in (63, 64, 65, 300, 3000):
+        some = [f"token=abcdef{rng.randrange(10**6)}", "AKIA" + "A1" * 9, "0123456789abcdef01234567", "ö" * rng.randint(1, 9), "secret: token: abcdef12"]
+        texts.append(" ".join(rng.choice(some) for _ in range(n)))
+    rows = secrets.find_secrets(docs_of(texts)).orderBy("doc_id")
+    got = rows.select("base_spans", secrets.redacted(F.col("text"), F.col("spans")).alias("t"), "spans").collect()
+    for t, r in zip(texts, got, strict=True):
+        assert [tuple(s) for s in r.base_spans] == brute_spans(t)
+        at, out = 0, ""
+        for s in r.spans:
+            if s.end > at:
+                out += "" if s.start < at else t[at : s.start] + "[SECRET]"
+                at = s.end
+        assert r.t == out + t[at:]
+
+
+def test_step_up():
+    """The accepted bin against Benjamini and Hochberg's step-up over single p-values."""
+    rng = random.Random(7)
+    for _ in range(50):
+        rows = [(10 ** -rng.uniform(0, 9) if rng.random() < 0.3 else rng.random(), rng.randint(20, 60)) for _ in range(rng.randint(1, 200))]
+        bins = {}
+        for p, n in rows:
+            at = int(np.floor(-np.log10(p / n) * secrets.BINS))
+            bins.setdefault(at, []).append(n)
+        least = secrets.accepted_bin([(at, len(x), sum(x)) for at, x in bins.items()])
+        mean = sum(n for _, n in rows) / len(rows)
+        ranked = sorted(p * mean / n for p, n in rows)
+        limit = max((p for i, p in enumerate(ranked) if p <= secrets.RATE * (i + 1) / len(rows)), default=-1)
+        taken = [p * mean / n for p, n in rows if least is not None and np.floor(-np.log10(p / n) * secrets.BINS) >= least]
+        assert all(p <= limit for p in taken)
+        assert len(taken) >= sum(p <= limit / 10 ** (1 / secrets.BINS) for p in ranked) or limit < 0
+    assert secrets.accepted_bin([]) is None and secrets.accepted_bin([(-1, 9, 300.0)]) is None
+
+
+def test_warc_lookup_through_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 5)
+    monkeypatch.setattr(warc, "FILE_LINES", 12)
+    monkeypatch.setattr(warc, "HOT", 30)
+    rng = random.Random(12)
+    often = "<p>" + "same page " * 20
+    rows = [(i, rng.choice(["http://often.org/", f"http://h{rng.randrange(30)}.org/p{rng.randrange(9)}", None]), rng.choice([often, f"text {i} " * 30, "short"])) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index = warc.write_pages(pages)
+    assert len(index.files) > 10 and index.directory.count() > 50
+    want = brute_pages([(p, h) for p, _, h in rows])
+    got = index.lookup_all(pages).collect()
+    assert len(got) == 300 and {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == want
+    for u in ("http://often.org/", None, rows[7][1], "http://none.org/"):
+        assert [c.page_id for c in index.lookup(u)] == [p for p, x, _ in rows if x == u]
+    some = spark.createDataFrame([(rows[3][1],), ("http://often.org/",), ("http://zz.org/",)], "url string")
+    assert {r.page_id for r in index.lookup_all(some).collect()} == {p for p, x, _ in rows if x in (rows[3][1], "http://often.org/")}
