@@ -33,6 +33,7 @@ TYPE_BY_ID = (
     ("ANDROID_LIBRARY", ("com.android.library", "com.android.dynamic-feature")),
     ("JVM_LIBRARY", ("org.jetbrains.kotlin.jvm", "java-library", "java")),
 )
+# Labels and colours of module types.
 TYPE_LABELS = {
     "KMP": ("KMP", "#9B59B6"), "KMP_ANDROID_LIBRARY": ("KMP Android Lib", "#1ABC9C"), "ANDROID_APP": ("Android App", "#3498DB"),
     "ANDROID_LIBRARY": ("Android Lib", "#2ECC71"), "JVM_LIBRARY": ("JVM Lib", "#27AE60"), "UNKNOWN": ("Unknown", "#95A5A6"),
@@ -78,6 +79,12 @@ def source_set(configuration: Column) -> Column:
     return F.when(~configuration.isin(*STANDARD_CONFIGS) & has_suffix, F.nullif(F.regexp_replace(configuration, f"({'|'.join(SUFFIXES)})$", ""), F.lit("")))
 
 
+def live_source_set(configuration: Column) -> Column:
+    """What stands before a suffix, whatever the configuration; null where nothing does."""
+    ending = f"({'|'.join(SUFFIXES)})$"
+    return F.when(configuration.rlike(ending), F.nullif(F.regexp_replace(configuration, ending, ""), F.lit("")))
+
+
 def split_dependency(raw: Column) -> tuple[Column, Column]:
     """``configuration:target`` at its first colon; both null without one."""
     at = F.instr(raw, ":")

@@ -103,6 +103,46 @@ def reachable(nodes: Sequence[str], edges: Pairs) -> Iterable[tuple[str, str]]:
         yield from ((start, b) for b in seen)
 
 
+def closes_cycle(nodes: Sequence[str], edges: Pairs) -> bool:
+    """Whether a walk from the nodes meets a cycle of two or more; one walk over nodes and edges."""
+    return bool(back_edge_cycles(nodes, edges))
+
+
+def strong_members(nodes: Sequence[str], edges: Pairs) -> list[str]:
+    """Nodes in a strongly connected component of two or more, in one walk: a component is closed when its first node is left."""
+    after, index, low, open_, waiting = _targets(edges), {}, {}, set(), []
+    known, out = set(nodes), []
+    for start in nodes:
+        if start in index:
+            continue
+        trail = [(start, iter(after.get(start, ())))]
+        index[start] = low[start] = len(index)
+        waiting.append(start)
+        open_.add(start)
+        while trail:
+            node, rest = trail[-1]
+            step = next(rest, None)
+            if step is None:
+                trail.pop()
+                if trail:
+                    low[trail[-1][0]] = min(low[trail[-1][0]], low[node])
+                if low[node] == index[node]:
+                    part = [waiting.pop()]
+                    while part[-1] != node:
+                        part.append(waiting.pop())
+                    open_.difference_update(part)
+                    if len(part) > 1:
+                        out += [n for n in part if n in known]
+            elif step not in index:
+                index[step] = low[step] = len(index)
+                waiting.append(step)
+                open_.add(step)
+                trail.append((step, iter(after.get(step, ()))))
+            elif step in open_:
+                low[node] = min(low[node], index[step])
+    return out
+
+
 def per_graph(g: Graph, kernel: Callable[[list[str], list[tuple[str, str]]], Iterable[tuple]], columns: str, include_test: bool) -> DataFrame:
     """``kernel(nodes, edges)`` of each graph, both in order, as rows of ``columns`` behind ``graph_id``."""
     nodes = g.modules.select("graph_id", F.col("module_seq").cast("long").alias("seq"), F.col("path").alias("a"), F.lit(None).cast("string").alias("b"))

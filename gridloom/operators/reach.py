@@ -17,7 +17,10 @@ MAX_HOPS = 10_000
 def _kept(df: DataFrame) -> DataFrame:
     """Computed once, lineage cut, in the folder that all executors share."""
     spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_SHARED).rstrip('/')}/reach-{uuid.uuid4().hex}"
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not folder and not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{(folder or LOCAL_SHARED).rstrip('/')}/reach-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -38,9 +41,9 @@ def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     raise RuntimeError("too many hops")
 
 
-def transitive_pairs(g: Graph, include_test: bool = True, large: bool = False) -> DataFrame:
-    """``(graph_id, src, dst)`` over known starting modules. ``large``: by joins."""
-    if not large:
+def transitive_pairs(g: Graph, include_test: bool = True, large: bool | None = None) -> DataFrame:
+    """``(graph_id, src, dst)`` over known starting modules. ``large``: by joins; by default as the graph says."""
+    if not (g.large if large is None else large):
         return kernels.reach_pairs(g, include_test)
     return closure(g.edge_set(include_test), g.modules).select("graph_id", "src", "dst")
 
@@ -61,20 +64,34 @@ def blast_radius(g: Graph, include_test: bool = True) -> DataFrame:
 
 
 def has_cycle(g: Graph, include_test: bool = True) -> DataFrame:
-    """``(graph_id, has_cycle)``; self-loops are no cycles."""
-    inner = g.with_edges(g.edges.where("src != dst"))
-    # A cycle that is reachable from a module may go through unknown ones alone, so all ends are starts.
-    ends = inner.edges.select("graph_id", F.explode(F.array("src", "dst")).alias("path")).distinct()
-    on = kernels.reach_pairs(Graph(ends.withColumn("module_seq", F.lit(0)), inner.edges), include_test).where("src = dst").select("graph_id", F.col("src").alias("path"))
-    known = g.modules.select("graph_id", "path")
-    reached = transitive_pairs(inner, include_test).select("graph_id", F.col("dst").alias("path")).unionByName(known)
-    hit = on.join(reached, ["graph_id", "path"], "left_semi").select("graph_id").distinct().withColumn("hit", F.lit(True))
+    """``(graph_id, has_cycle)``: whether modules reach a cycle; self-loops are none. One walk a graph, or, if large, by peeling."""
+    if not g.large:
+        return kernels.per_graph(g, lambda n, e: [(kernels.closes_cycle(n, e),)] if n else [], "has_cycle boolean", include_test)
+    edges = g.edge_set(include_test).where("src != dst")
+    inner = _peeled(edges.select("graph_id", "src", "dst").distinct())
+    starts = g.modules.select("graph_id", "path")
+    met = closure(edges, starts).select("graph_id", F.col("dst").alias("path")).unionByName(starts)
+    hit = inner.select("graph_id", F.col("src").alias("path")).join(met, ["graph_id", "path"], "left_semi").select("graph_id").distinct().withColumn("hit", F.lit(True))
     return g.modules.select("graph_id").distinct().join(hit, "graph_id", "left").select("graph_id", F.coalesce("hit", F.lit(False)).alias("has_cycle"))
 
 
+def _peeled(edges: DataFrame) -> DataFrame:
+    """What is left of edges when those into or out of an end of the graph are taken off again and again: nothing if there is no cycle."""
+    left = _kept(edges)
+    before, now = -1, left.count()
+    while now not in (before, 0):
+        ends = lambda c: left.select("graph_id", F.col(c).alias("x")).distinct()  # noqa: B023, E731
+        left = _kept(left.join(ends("dst").withColumnRenamed("x", "src"), ["graph_id", "src"], "left_semi").join(ends("src").withColumnRenamed("x", "dst"), ["graph_id", "dst"], "left_semi"))
+        before, now = now, left.count()
+    return left
+
+
 def scc_members(g: Graph, include_test: bool = False) -> DataFrame:
-    """Modules that reach themselves by a cycle of two or more."""
-    return transitive_pairs(g.with_edges(g.edges.where("src != dst")), include_test).where("src = dst").select("graph_id", F.col("src").alias("path"))
+    """Modules on a cycle of two or more. One walk a graph, or, if large, from what peeling leaves."""
+    if not g.large:
+        return kernels.per_graph(g, lambda n, e: ((x,) for x in kernels.strong_members(n, e)), "path string", include_test).distinct()
+    inner = _peeled(g.edge_set(include_test).where("src != dst").select("graph_id", "src", "dst").distinct())
+    return closure(inner, g.modules).where("src = dst").select("graph_id", F.col("src").alias("path"))
 
 
 def topo_levels(g: Graph) -> DataFrame:
@@ -82,12 +99,17 @@ def topo_levels(g: Graph) -> DataFrame:
     pairs = g.main_edges.select("graph_id", F.col("src").alias("path"), "dst").distinct().persist()
     level = g.modules.select("graph_id", "path").withColumn("topo_level", F.lit(0))
     front = level
-    for hop in range(1, MAX_HOPS):
+    # A chain is no longer than its graph has nodes.
+    nodes = level.select("graph_id", "path").unionByName(pairs.select("graph_id", F.col("dst").alias("path"))).distinct().groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0
+    for hop in range(1, nodes + 1):
         front = _kept(front.join(pairs, ["graph_id", "path"]).select("graph_id", F.col("dst").alias("path"), F.lit(hop).alias("topo_level")).distinct())
         if front.isEmpty():
             pairs.unpersist()
             return level.groupBy("graph_id", "path").agg(F.max("topo_level").alias("topo_level"))
         level = level.unionByName(front)
+    pairs.unpersist()
+    if nodes == 0:
+        return level
     raise ValueError("the graph has a cycle")
 
 

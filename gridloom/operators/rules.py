@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as S
@@ -43,10 +44,13 @@ def _located(path: Column, g: Graph, df: DataFrame) -> tuple[DataFrame, Column]:
 
 @dataclass(frozen=True)
 class NoCycles:
-    """An error for each main cycle; one more if there are more than before and ``prevent_regression``; an info for each cycle that tests alone close."""
+    """An error for each main cycle; one more if there are more than before and ``prevent_regression``; an info for each cycle that tests alone close.
+
+    ``previous``: the number of cycles before, for all graphs or as ``(graph_id, cycle_count)``; graphs without one can't regress.
+    """
 
     prevent_regression: bool = False
-    previous: int | None = None
+    previous: int | DataFrame | None = None
     id: str = "no-cyclic-dependencies"
     severity: str = "ERROR"
 
@@ -55,8 +59,10 @@ class NoCycles:
         path = F.array_join("cycle", ARROW)
         out = _violations(main, F.col("cycle_seq"), self.id, self.severity, F.concat(F.lit("Modules depend on each other in a circle: "), path), path, F.col("cycle")[0], "Modules in a circle cannot be built, tested or changed one without the others.")
         if self.prevent_regression and self.previous is not None:
-            now = main.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > self.previous)
-            text = F.format_string(f"%d more cycles than before: there were {self.previous}, now there are %d", F.col("n") - self.previous, F.col("n"))
+            now = main.groupBy("graph_id").agg(F.count("*").alias("n"))
+            now = now.join(self.previous.select("graph_id", F.col("cycle_count").alias("was")), "graph_id") if isinstance(self.previous, DataFrame) else now.withColumn("was", F.lit(self.previous))
+            now = now.where("n > was")
+            text = F.format_string("%d more cycles than before: there were %d, now there are %d", F.col("n") - F.col("was"), F.col("was"), F.col("n"))
             out = out.unionByName(_violations(now, F.lit(1 << 30), self.id, self.severity, text, F.lit("cycle-regression"), F.lit(None).cast("string"), "The number of cycles may not grow."))
         every = kernels.cycles(g, include_test=True, dedupe=True).withColumn("nodes", F.array_sort("cycle"))
         only = every.join(main.select("graph_id", "nodes"), ["graph_id", "nodes"], "left_anti")
@@ -81,9 +87,12 @@ class LayerRule:
     severity: str = "ERROR"
 
     def edges(self, g: Graph) -> DataFrame:
-        """Main edges with both ends in a layer, and whether each is allowed."""
+        """Main edges with both ends known modules in a layer, and whether each is allowed."""
         named = [(x.name, x.patterns) for x in self.layers]
-        out = g.main_edges.withColumns({"from_layer": S.first_match(F.col("src"), named), "to_layer": S.first_match(F.col("dst"), named)}).where("from_layer IS NOT NULL AND to_layer IS NOT NULL")
+        layered = g.modules.select("graph_id", "path", S.first_match(F.col("path"), named).alias("layer")).where("layer IS NOT NULL").distinct()
+        out = g.main_edges
+        for end, name in (("src", "from_layer"), ("dst", "to_layer")):
+            out = out.join(layered.select("graph_id", F.col("path").alias(end), F.col("layer").alias(name)), ["graph_id", end])
         ok, words = F.lit(True), F.lit("")
         for x in reversed(self.layers):
             here = F.col("from_layer") == x.name
@@ -177,7 +186,8 @@ def parse_overrides(entries: Sequence[str]) -> Config:
         elif kind == "option" and rule == NoCycles.id and value == "preventRegression":
             regression = True
         elif kind == "threshold" and rule == MaxTransitive.id:
-            most = int(value) if value.lstrip("+-").isdigit() else None
+            number = int(value) if re.fullmatch(r"[+-]?\d+", value) else None
+            most = number if number is not None and -(2**31) <= number < 2**31 else None
     return Config(severities, suppressed, regression, most)
 
 
@@ -206,11 +216,30 @@ class Result:
         at = F.struct("rule_seq", "seq")
         return self.violations.groupBy("graph_id", "rule_id").agg(F.count("*").cast("int").alias("n"), F.min_by("severity", at).alias("severity"), F.min(at).alias("at")).orderBy("graph_id", "at").drop("at")
 
-    def text(self) -> str:
-        """A few lines for people; infos are left out."""
-        rows = [r for r in self.by_rule().collect() if r.severity != "INFO"]
-        lines = [f"{r.severity.lower()}: {r.rule_id} ({r.n})" for r in rows]
-        return "\n".join([f"{self.rules_evaluated} rules evaluated, {sum(r.n for r in rows)} violations", *lines])
+    def text(self, report: str | None = None, most: int = 1000) -> str:
+        """The run for people: each rule's errors and warnings by rule, how many infos there are, and the totals by level.
+
+        Of a rule with more than ``most`` messages the first ones and the number of the others are shown.
+        """
+        shown = self.violations.where("severity != 'INFO'")
+        nth = Window.partitionBy("rule_id").orderBy("rule_seq", "graph_id", "seq")
+        by_rule: dict[str, list] = {}
+        for r in shown.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= most).orderBy("rule_seq", "nth").collect():
+            by_rule.setdefault(r.rule_id, []).append(r)
+        totals = {(r.rule_id, r.severity): r["count"] for r in self.violations.groupBy("rule_id", "severity").count().collect()}
+        of = lambda level: sum(n for (_, s), n in totals.items() if s == level)
+        if not totals:
+            return f"All rules passed ({self.rules_evaluated} rules evaluated)"
+        lines = []
+        for rule, rows in by_rule.items():
+            n = sum(x for (i, s), x in totals.items() if i == rule and s != "INFO")
+            lines.append(f"[{rule}] {rows[0].severity}: {n} violations")
+            lines += [f"  {r.severity.lower()}: {r.message}" for r in rows]
+            lines += [f"  and {n - len(rows)} more"] if n > len(rows) else []
+        if of("INFO"):
+            lines.append(f"[info] {of('INFO')} more for information")
+        level = ", ".join(f"{of(s)} {word}" for s, word in (("ERROR", "errors"), ("WARNING", "warnings")) if of(s))
+        return "\n".join([*lines, f"{level or 'no errors or warnings'} in {self.rules_evaluated} rules" + (f"; report: {report}" if report else "")])
 
     def check(self) -> None:
         """Raises if any violation is an error."""

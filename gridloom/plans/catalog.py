@@ -1,7 +1,7 @@
 """Queries over the derived graph, one for each operator, and the same in SQL where SQL can say it.
 
-Without SQL are those that depend on the order of a depth-first or first-in-first-out walk; tests hold them against
-plain Python.
+Without SQL are those that depend on the order of a depth-first or first-in-first-out walk, and documents; tests hold them, over
+the tables' graph, against plain recursive Python of their own.
 """
 
 from __future__ import annotations
@@ -63,8 +63,16 @@ def subject(c: str) -> str:
     return f"array_to_string(list_transform({SEGMENTS.format(c)}, lambda s: ':' || s), '')"
 
 
+# What each glob means, written out by hand so that the SQL does not share the code that it checks.
+GLOB_SQL = {
+    "": "^$", "**:ui": "^(:[^:]+)*:ui$", ":**": "^(:[^:]+)*$", ":a.b:*": "^:a[.]b:[^:]+$", ":app:*": "^:app:[^:]+$", ":core:*": "^:core:[^:]+$", ":core:**": "^:core(:[^:]+)*$", ":core:domain": "^:core:domain$",
+    ":feature:**": "^:feature(:[^:]+)*$", ":feature:*:**": "^:feature:[^:]+(:[^:]+)*$", ":feature:*:data": "^:feature:[^:]+:data$", ":feature:*:domain": "^:feature:[^:]+:domain$", ":feature:*:ui": "^:feature:[^:]+:ui$",
+    ":lib:*": "^:lib:[^:]+$", ":lib:**": "^:lib(:[^:]+)*$",
+}
+
+
 def matches(c: str, *globs: str) -> str:
-    return "(" + " OR ".join(f"regexp_matches({subject(c)}, '{S.glob_regex(g)}')" for g in globs) + ")"
+    return "(" + " OR ".join(f"regexp_matches({subject(c)}, '{GLOB_SQL[g]}')" for g in globs) + ")"
 
 
 def case_first(c: str, named) -> str:
@@ -117,6 +125,17 @@ def extract_flags_off(spark, sf):
     return sources.extract(*raw_tables(mixed(spark, sf)), include_test=False).edges.select("src", "dst", "configuration")
 
 
+@query("SELECT src, dst, configuration, CASE configuration WHEN 'testImplementation' THEN 'test' WHEN 'commonMainImplementation' THEN 'commonMain' END AS source_set, CAST(row_number() OVER (ORDER BY src, configuration DESC, dst) - 1 AS BIGINT) AS edge_seq FROM e WHERE src IN (SELECT path FROM m)")
+def extract_live_model(spark, sf):
+    g = mixed(spark, sf)
+    one = g.edges.groupBy("graph_id", F.col("src").alias("path"), "configuration").agg(F.array_sort(F.collect_list("dst")).alias("targets"))
+    twice = F.concat("targets", "targets", F.array("path"))
+    listed = one.withColumn("c", F.explode(F.array(F.struct(F.col("configuration").alias("name"), twice.alias("targets")), F.struct(F.lit("kapt").alias("name"), F.col("targets")))))
+    held = listed.groupBy("graph_id", "path").agg(F.sort_array(F.collect_list("c"), asc=False).alias("configurations"))
+    projects = g.modules.select("graph_id", "path", F.array(F.lit("java")).alias("plugin_ids"), "plugins", "source_sets").join(held, ["graph_id", "path"], "left")
+    return sources.extract_live(projects).edges.select("src", "dst", "configuration", "source_set", "edge_seq")
+
+
 @query(f"SELECT path, {TYPE_SQL} AS type, {FILE_SQL.format('path')} AS build_file_path FROM m")
 def extract_modules(spark, sf):
     g = mixed(spark, sf)
@@ -379,7 +398,7 @@ GLOBS = (":core:domain", ":feature:*:domain", ":core:*", ":feature:**", ":**", "
 PATHS = (":core:domain", ":core:data", ":app", ":feature:login:domain", ":feature:login:sub:domain", ":feature:domain", ":core:domain:model", ":feature:login", ":feature", ":feature:login:ui:extra", ":feature:x:ui", "", ":a.b:c", ":axb:c")
 
 
-@query("SELECT pattern, path, CASE " + " ".join(f"WHEN pattern = '{g}' THEN regexp_matches({subject('path')}, '{S.glob_regex(g)}')" for g in GLOBS) + " END AS matched FROM (VALUES " + ", ".join(f"('{g}')" for g in GLOBS) + ") AS g(pattern), (VALUES " + ", ".join(f"('{p}')" for p in PATHS) + ") AS p(path)", "")
+@query("SELECT pattern, path, CASE " + " ".join(f"WHEN pattern = '{g}' THEN {matches('path', g)}" for g in GLOBS) + " END AS matched FROM (VALUES " + ", ".join(f"('{g}')" for g in GLOBS) + ") AS g(pattern), (VALUES " + ", ".join(f"('{p}')" for p in PATHS) + ") AS p(path)", "")
 def glob_truth_table(spark, sf):
     df = spark.createDataFrame([(g, p) for g in GLOBS for p in PATHS], "pattern string, path string")
     out = F.lit(None).cast("boolean")
@@ -396,7 +415,7 @@ def layer_assignment(spark, sf):
     return mixed(spark, sf).modules.select("path", S.first_match(F.col("path"), _NAMED).alias("layer"))
 
 
-_LAYERED = f", le AS (SELECT edge_seq, src, dst, {case_first('src', _NAMED)} AS a, {case_first('dst', _NAMED)} AS b FROM e WHERE NOT is_test)"
+_LAYERED = f", le AS (SELECT edge_seq, src, dst, {case_first('src', _NAMED)} AS a, {case_first('dst', _NAMED)} AS b FROM e WHERE NOT is_test AND src IN (SELECT path FROM m) AND dst IN (SELECT path FROM m))"
 _OK = "(a = b OR a = 'core' OR (a = 'data' AND b = 'core') OR (a = 'presentation' AND b IN ('core', 'data')))"
 _DECLARED = "coalesce(' [declared in ' || " + FILE_SQL.format("src") + " || ']', '')"
 
@@ -406,7 +425,7 @@ def layer_violations(spark, sf):
     return LAYER_RULE.evaluate(mixed(spark, sf)).select("rule_id", "severity", "message", "source", "module_hint")
 
 
-_FEATURE_BAD = f"FROM e WHERE NOT is_test AND src LIKE ':feature:%' AND dst LIKE ':feature:%' AND NOT ({matches('src', ':feature:*:ui')} AND {matches('dst', ':feature:*:data')})"
+_FEATURE_BAD = f"FROM e WHERE NOT is_test AND src LIKE ':feature:%' AND dst LIKE ':feature:%' AND dst IN (SELECT path FROM m) AND NOT ({matches('src', ':feature:*:ui')} AND {matches('dst', ':feature:*:data')})"
 
 
 @query(f"SELECT 'no-feature-to-feature' AS rule_id, 'ERROR' AS severity, 'Feature ' || src || ' uses feature ' || dst || {_DECLARED} AS message, src || ' → ' || dst AS source, src AS module_hint {_FEATURE_BAD}")
@@ -546,7 +565,34 @@ def adjacency_matrix(spark, sf):
 
 @query("SELECT 'edge' AS kind, src || ' > ' || dst || ' : ' || configuration AS item, 'removed' AS change FROM e WHERE src || ' ' || dst || ' ' || configuration NOT IN (SELECT src || ' ' || dst || ' ' || configuration FROM dag)")
 def graph_diff(spark, sf):
-    return insight.graph_diff(mixed(spark, sf), dag(spark, sf))
+    return insight.graph_diff(mixed(spark, sf), dag(spark, sf)).drop("graph_id")
+
+
+_MISSING = "SELECT src || ' > ' || dst || ' : ' || configuration AS item FROM e WHERE src || ' ' || dst || ' ' || configuration NOT IN (SELECT src || ' ' || dst || ' ' || configuration FROM dag)"
+
+
+@query(f", x AS ({_MISSING}) SELECT 'a' AS graph_id, 'edge' AS kind, item, 'removed' AS change FROM x UNION ALL SELECT 'b', 'edge', item, 'added' FROM x")
+def graph_diff_by_graph(spark, sf):
+    """Two graphs change places: what one loses the other gains."""
+    big, small = mixed(spark, sf), dag(spark, sf)
+    named = lambda g, name: (g.modules.withColumn("graph_id", F.lit(name)), g.edges.withColumn("graph_id", F.lit(name)))
+    both = lambda a, b: sources.Graph(*(x.unionByName(y) for x, y in zip(named(a, "a"), named(b, "b"), strict=True)))
+    return insight.graph_diff(both(big, small), both(small, big))
+
+
+@query("SELECT path, direction, scope, other, configuration FROM (SELECT src AS path, 'out' AS direction, dst AS other, configuration FROM e UNION ALL SELECT dst, 'in', src, configuration FROM e) x JOIN (VALUES ('implementation', 'implementation'), ('api', 'api'), ('compileOnly', 'compile_only'), ('testImplementation', 'test'), ('commonMainImplementation', 'implementation')) AS s(c, scope) ON configuration = c")
+def dependencies_by_scope(spark, sf):
+    return insight.dependencies_by_scope(mixed(spark, sf)).drop("graph_id")
+
+
+@query(f"{FANS} SELECT path, CAST(row_number() OVER (ORDER BY fan_in + fan_out DESC, path) - 1 AS INT) AS pos FROM fans")
+def matrix_order_by_connectivity(spark, sf):
+    return insight.matrix_order(mixed(spark, sf), "connectivity").select("path", "pos")
+
+
+@query(f"SELECT path, CAST(row_number() OVER (ORDER BY {TYPE_SQL}, path) - 1 AS INT) AS pos FROM m")
+def matrix_order_by_type(spark, sf):
+    return insight.matrix_order(mixed(spark, sf), "type").select("path", "pos")
 
 
 @query(f"SELECT prefix, CAST(count(*) AS INT) AS modules, CAST(len(string_split(prefix, ':')) - 1 AS INT) AS depth FROM (SELECT ':' || array_to_string(s[1:i], ':') AS prefix FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT {SEGMENTS.format('path')} AS s FROM m) x) y) z GROUP BY prefix")

@@ -29,6 +29,7 @@ class Graph:
     modules: DataFrame
     edges: DataFrame
     info: DataFrame | None = None  # graph_id, project_name, metadata
+    large: bool = False  # reachability by joins, for graphs too large for one task
 
     @property
     def spark(self) -> SparkSession:
@@ -108,6 +109,29 @@ def extract(raw: DataFrame, plugins: DataFrame, files: DataFrame | None = None,
     return Graph(modules, edges, info)
 
 
+def extract_live(projects: DataFrame, project: str = "project", version: str = "unknown", extracted_at: str | None = None) -> Graph:
+    """A graph from a build's own model: ``(graph_id, path, plugin_ids, plugins, source_sets, configurations array<struct<name, targets>>)``, nested as there.
+
+    Only captured configurations count, and nothing else is left out but self-loops and repeats. Types go by plugin ids, source sets
+    by the configuration's suffix alone, and there are no build files. A project with a null field lacks what that gives, and the rest stands.
+    """
+    none = F.array().cast("array<string>")
+    known = projects.select("graph_id", "path", *(F.coalesce(c, none).alias(c) for c in ("plugin_ids", "plugins", "source_sets")), "configurations")
+    p, kmp = F.col("path"), F.array_contains("plugin_ids", S.TYPE_BY_ID[0][1][0])
+    modules = known.select(
+        "graph_id", (F.row_number().over(Window.partitionBy("graph_id").orderBy("path")) - 1).cast("int").alias("module_seq"), "path", S.short_name(p).alias("name"), S.detect_type_by_id(F.col("plugin_ids")).alias("type"),
+        F.array_distinct("plugins").alias("plugins"), S.path_tags(p).alias("tags"), F.when(kmp, F.array_distinct("source_sets")).otherwise(none).alias("source_sets"), F.lit(None).cast("string").alias("build_file_path"), F.lit(None).cast("int").alias("health_score"),
+    )
+    listed = known.select("graph_id", F.col("path").alias("src"), F.posexplode("configurations").alias("at", "c")).select("graph_id", "src", "at", F.col("c.name").alias("configuration"), F.posexplode("c.targets").alias("pos", "dst"))
+    kept = listed.where(S.is_captured(F.col("configuration")) & (F.col("src") != F.col("dst")))
+    kept = kept.withColumn("edge_seq", F.row_number().over(Window.partitionBy("graph_id").orderBy("src", "at", "pos")).cast("long"))
+    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    edges = first_edges(kept.select("graph_id", "edge_seq", "src", "dst", "configuration", S.live_source_set(F.col("configuration")).alias("source_set"), nothing("int", "declaration_line"), nothing("string", "reason"), nothing("string", "adr_url")))
+    metadata = {"moduleCount": F.count("*").cast("string"), "version": F.lit(version), **({"extractedAt": F.lit(extracted_at)} if extracted_at else {})}
+    info = modules.groupBy("graph_id").agg(F.create_map(*(x for k, v in metadata.items() for x in (F.lit(k), v))).alias("metadata")).select("graph_id", F.lit(project).alias("project_name"), "metadata")
+    return Graph(modules, edges, info)
+
+
 # ----------------------------------------------------------------------- JSON
 def from_json(raw: DataFrame, strict: bool = False) -> Graph:
     """Graphs from ``(graph_id, json)``. Missing fields get defaults; missing required ones, and in strict mode unknown ones, raise when rows are computed."""
@@ -157,6 +181,11 @@ def to_json(g: Graph) -> DataFrame:
     return graph_structs(g).select("graph_id", F.to_json("graph", {"ignoreNullFields": "false"}).alias("json"))
 
 
+def write_json(g: Graph, folder: str) -> None:
+    """A JSON file a graph, in a folder of its own named by ``graph_id``; ``read_json`` reads them."""
+    to_json(g).withColumn("graph", F.col("graph_id")).select("graph", "json").repartition("graph").write.mode("overwrite").partitionBy("graph").text(folder)
+
+
 def previous_cycle_count(raw: DataFrame) -> DataFrame:
     """``(graph_id, cycle_count)`` of an earlier result; null where it can't be read."""
     return raw.select("graph_id", F.expr("try_cast(get_json_object(json, '$.summary.cycleCount') AS int)").alias("cycle_count"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as S
@@ -18,7 +19,14 @@ FULL = {"ignoreNullFields": "false"}
 # Fixed values of the SARIF format.
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 SARIF_VERSION = "2.1.0"
-TEMPLATE = "<!doctype html><html><head><meta charset='utf-8'><title>__TITLE__</title></head><body><h1>__TITLE__</h1><pre id='s'></pre><script>const graph=__GRAPH__;const summary=__SUMMARY__;document.getElementById('s').textContent=JSON.stringify(summary,null,1)</script></body></html>"
+DATA_MARK = "<!-- data -->"
+TEMPLATE = (
+    "<!doctype html><html><head><meta charset='utf-8'><title>__TITLE__</title></head><body><h1>__TITLE__</h1><p>Generated at __TIME__, version __VERSION__</p><ul id='types'></ul><pre id='s'></pre>"
+    + DATA_MARK
+    + "<script>const read=id=>JSON.parse(document.getElementById(id).textContent);const graph=read('graph-data'),summary=read('summary-data'),types=read('type-data');"
+    "for(const [t,n] of Object.entries(summary.modulesByType)){const x=document.createElement('li');x.textContent=(types[t]?types[t][0]:t)+': '+n;x.style.color=types[t]?types[t][1]:'';document.getElementById('types').append(x)}"
+    "document.getElementById('s').textContent=JSON.stringify(summary,null,1)</script></body></html>"
+)
 
 
 def csv_rows(g: Graph, timestamp: str | None = None) -> DataFrame:
@@ -129,14 +137,17 @@ def html_summary(g: Graph, result: Result, trend_json: str = "[]") -> DataFrame:
     return out.select("graph_id", F.to_json(F.struct(*fields), FULL).alias("json"))
 
 
-def html(graph_json: str, summary_json: str, title: str, template: str = TEMPLATE) -> str:
-    """A page with its data; the template must have both marks."""
-    for mark in ("__GRAPH__", "__SUMMARY__"):
-        if mark not in template:
-            raise ValueError(f"the template lacks {mark}")
+def html(graph_json: str, summary_json: str, title: str, template: str = TEMPLATE, timestamp: str = "", version: str = "unknown") -> str:
+    """A page with its data in tags of their own, in place of the template's mark, which must be there."""
+    if DATA_MARK not in template:
+        raise ValueError(f"the template lacks {DATA_MARK}")
     safe = lambda s: s.replace("</", "<\\/")
     shown = title.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
-    return template.replace("__TITLE__", shown).replace("__GRAPH__", safe(graph_json)).replace("__SUMMARY__", safe(summary_json))
+    data = {"graph-data": graph_json, "summary-data": summary_json, "type-data": json.dumps(S.TYPE_LABELS)}
+    tags = "\n".join(f'<script type="application/json" id="{name}">\n{safe(text)}\n</script>' for name, text in data.items())
+    head, _, rest = template.partition(DATA_MARK)
+    filled = lambda s: s.replace("__TITLE__", shown).replace("__TIME__", timestamp).replace("__VERSION__", version)
+    return filled(head) + tags + filled(rest)
 
 
 def last_runs(trend: DataFrame, keep: int = TREND_RUNS) -> DataFrame:
@@ -154,18 +165,63 @@ def append_trend(old_json: str | None, entry: dict[str, object], keep: int = TRE
     return json.dumps([*(x for x in old if isinstance(x, dict)), entry][-keep:] if isinstance(old, list) else [entry])
 
 
+def trend_entry(g: Graph, ts: int, summary: DataFrame | None = None) -> DataFrame:
+    """``(graph_id, entry)``: a run's line of the trend, as JSON."""
+    s = metrics.graph_summary(g) if summary is None else summary
+    names = {"total_modules": "modules", "total_edges": "edges", "cycle_count": "cycles", "god_module_count": "godModules", "critical_path_length": "critPathLen", "average_instability": "avgInstability"}
+    return s.select("graph_id", F.to_json(F.struct(F.lit(ts).cast("long").alias("ts"), *(F.col(k).alias(v) for k, v in names.items()))).alias("entry"))
+
+
+def read_trend(spark: SparkSession, folder: str) -> DataFrame:
+    """``(graph_id, trend)`` from the folders that ``ReportWriter`` wrote; none where there is nothing or it can't be read."""
+    try:
+        return spark.read.text(folder, wholetext=True).select("graph_id", F.col("value").alias("trend"))
+    except AnalysisException:
+        return spark.createDataFrame([], "graph_id string, trend string")
+
+
 @dataclass
 class ReportWriter:
-    """All sinks of one run, below one folder."""
+    """All sinks of one run, below one folder; each a folder by ``graph_id``. What several sinks need is computed once.
+
+    ``metrics`` is one table of all graphs. The trend is read from ``trend`` and written to ``trend-next``, as a folder can't be read and
+    overwritten at once; the caller passes the last one on.
+    """
 
     g: Graph
     result: Result
     folder: str
     timestamp: str
     project: str = "project"
+    version: str = "unknown"
+    trend: str | None = None
+    ts: int = 0
+
+    def documents(self) -> dict[str, DataFrame]:
+        """``(graph_id, document)`` of each sink."""
+        g, result = self.g, self.result
+        summary = html_summary(g, result, self.trend_json() if self.trend else "[]")
+        title, time, version = self.project, self.timestamp, self.version
+        page = F.udf(lambda graph, s: html(graph, s, title, timestamp=time, version=version), "string")
+        both = graph_structs(g).select("graph_id", F.to_json("graph", FULL).alias("graph")).join(summary, "graph_id")
+        out = {"graph.json": graph_structs(g).select("graph_id", F.to_json("graph", FULL)), "result.json": json_envelope(g, result, time, version), "result.sarif": sarif(g, result, version), "result.xml": junit(g, result, time, self.project), "index.html": both.select("graph_id", page("graph", "json"))}
+        return {name: df.toDF("graph_id", "document") for name, df in out.items()}
+
+    def trend_json(self) -> str:
+        """The first graph's history, for its page."""
+        row = read_trend(self.g.spark, self.trend).orderBy("graph_id").first() if self.trend else None
+        return row.trend if row else "[]"
+
+    def next_trend(self) -> DataFrame:
+        """``(graph_id, document)``: each graph's history with this run."""
+        old = read_trend(self.g.spark, self.trend) if self.trend else self.g.spark.createDataFrame([], "graph_id string, trend string")
+        add = F.udf(lambda trend, entry: append_trend(trend, json.loads(entry)), "string")
+        return trend_entry(self.g, self.ts).join(old, "graph_id", "left").select("graph_id", add("trend", "entry").alias("document"))
 
     def write(self) -> None:
-        outputs = {"result.json": json_envelope(self.g, self.result, self.timestamp), "result.sarif": sarif(self.g, self.result), "result.xml": junit(self.g, self.result, self.timestamp, self.project)}
-        for name, df in outputs.items():
-            df.select(df.columns[1]).coalesce(1).write.mode("overwrite").text(f"{self.folder}/{name}")
-        write_csv(self.g, f"{self.folder}/metrics.csv", self.timestamp)
+        shared = replace(self.result, violations=self.result.violations.persist())
+        writer = replace(self, g=self.g.cached(), result=shared)
+        for name, df in {**writer.documents(), "trend-next": writer.next_trend()}.items():
+            df.repartition("graph_id").write.mode("overwrite").option("lineSep", "\n").partitionBy("graph_id").text(f"{self.folder}/{name}")
+        write_csv(writer.g, f"{self.folder}/metrics.csv", self.timestamp)
+        shared.violations.unpersist()

@@ -95,6 +95,15 @@ def test_random_graphs_against_joins(spark):
         on_dfs = {(r.graph_id, r.path) for r in metrics.cycle_node_set(g, include_test).collect()}
         assert on_dfs <= on_scc
         assert {x for x, _ in on_dfs} == {r.graph_id for r in reach.has_cycle(g, include_test).collect() if r.has_cycle}
+        by_joins = Graph(g.modules, g.edges, large=True)
+        assert {tuple(r) for r in reach.has_cycle(by_joins, include_test).collect()} == {tuple(r) for r in reach.has_cycle(g, include_test).collect()}
+        assert {(r.graph_id, r.path) for r in reach.scc_members(by_joins, include_test).collect()} == on_scc
+        assert {tuple(r) for r in reach.blast_radius(by_joins, include_test).collect()} == {tuple(r) for r in reach.blast_radius(g, include_test).collect()}
+
+
+def test_levels_of_a_cyclic_graph_stop(spark):
+    with pytest.raises(ValueError, match="cycle"):
+        reach.topo_levels(build(spark, g=([":a", ":b"], [":a>:b", ":b>:a"])))
 
 
 @pytest.mark.parametrize(
@@ -114,12 +123,37 @@ def test_rules(spark):
     assert got.count(("layer-dependency", "WARNING")) == 1 and ("no-feature-to-feature", "ERROR") not in got and ("test-cyclic-dependency", "INFO") in got
     assert "build.gradle.kts" in next(r.message for r in result.violations.collect() if r.rule_id == "layer-dependency")
     result.check()
-    assert result.rules_evaluated == 4 and "4 rules" in result.text()
+    said = result.text("out/index.html")
+    assert result.rules_evaluated == 4 and said.endswith("in 4 rules; report: out/index.html") and "[layer-dependency] WARNING: 1 violations\n  warning: Layer data" in said and "[info] 1 more" in said
+    assert rules.Engine([rules.MaxTransitive(99)]).evaluate(g).text() == "All rules passed (1 rules evaluated)"
+    for odd in ("+-5", "²", "", "1.5", "99999999999"):
+        assert rules.parse_overrides([f"max-transitive-dependencies:threshold:{odd}"]).most_transitive is None
+    assert rules.parse_overrides(["max-transitive-dependencies:threshold:+7"]).most_transitive == 7
+    ghost = build(spark, g=([":feature:a:data"], [":feature:a:data>:feature:b:ui"]))
+    assert rules.LayerRule(rules.parse_layers(layers)).evaluate(ghost).count() == 0  # the target is no module of the graph
     strict = rules.Engine([rules.NoCycles(True, 0)]).evaluate(build(spark, g=([":a", ":b"], [":a>:b", ":b>:a"])))
     assert {r.source for r in strict.violations.collect()} == {":a → :b", "cycle-regression"}
     with pytest.raises(rules.ArchitectureCheckFailed):
         strict.check()
 
+    class NoAndroidBelow:
+        """A rule of a project's own: nothing below the core may use an Android library."""
+
+        id, severity = "no-android-below", "ERROR"
+
+        def evaluate(self, graph):
+            android = graph.modules.where("type = 'ANDROID_LIBRARY'").select("graph_id", F.col("path").alias("dst"))
+            bad = graph.main_edges.where("src LIKE ':core:%'").join(android, ["graph_id", "dst"])
+            return rules._violations(bad, F.col("edge_seq"), self.id, self.severity, F.concat("src", F.lit(" uses "), "dst"), F.col("src"), F.col("src"), "why")
+
+    typed = build(spark, g=([":core:domain", ":lib:view", ":app"], [":core:domain>:lib:view", ":app>:lib:view"]))
+    typed = Graph(typed.modules.withColumn("type", F.when(F.col("path") == ":lib:view", "ANDROID_LIBRARY").otherwise("UNKNOWN")), typed.edges)
+    own = rules.Engine([NoAndroidBelow()], rules.parse_overrides(["no-android-below:severity:WARNING"])).evaluate(typed)
+    assert [(r.rule_id, r.severity, r.message) for r in own.violations.collect()] == [("no-android-below", "WARNING", ":core:domain uses :lib:view")]
+    was = spark.createDataFrame([("x", 1), ("y", 0)], "graph_id string, cycle_count int")
+    two = build(spark, x=([":a", ":b"], [":a>:b", ":b>:a"]), y=([":a", ":b"], [":a>:b", ":b>:a"]), z=([":a", ":b"], [":a>:b", ":b>:a"]))
+    assert [r.graph_id for r in rules.NoCycles(True, was).evaluate(two).where("source = 'cycle-regression'").collect()] == ["y"]
+
     class Broken:
         id, severity = "broken", "ERROR"
 
@@ -152,8 +186,17 @@ def test_json_round_trip_and_reports(spark, tmp_path):
     assert xml.attrib["failures"] == "1" and xml[0].attrib["name"] == "a<b"
     page = json.loads(reports.html_summary(g, result).first().json)
     assert len(page) == 24 and page["mainCycleEdges"] == [":app→:lib", ":lib→:app"]
-    assert "const summary" in reports.html("{}", "{}", "t") and pytest.raises(ValueError, reports.html, "{}", "{}", "t", "none")
-    reports.ReportWriter(g, result, str(tmp_path), "T").write()
+    shown = reports.html('{"a":"</script>"}', "{}", "t<", timestamp="T1", version="9")
+    assert 'id="graph-data">\n{"a":"<\\/script>"}' in shown and "t&lt;" in shown and "Generated at T1, version 9" in shown and reports.DATA_MARK not in shown
+    assert pytest.raises(ValueError, reports.html, "{}", "{}", "t", "none")
+    reports.ReportWriter(g, result, str(tmp_path), "T", ts=7).write()
+    document = lambda name: spark.read.text(f"{tmp_path}/{name}", wholetext=True).first().value
+    assert [x["ts"] for x in json.loads(document("trend-next"))] == [7] and "summary-data" in document("index.html")
+    assert json.loads(document("result.json")) == envelope and json.loads(document("graph.json")) == json.loads(text)
+    reports.ReportWriter(g, result, f"{tmp_path}/second", "T", trend=f"{tmp_path}/trend-next", ts=8).write()
+    assert [(x["ts"], x["cycles"]) for x in json.loads(document("second/trend-next"))] == [(7, 1), (8, 1)] and '"ts":7' in document("second/index.html")
+    sources.write_json(g, f"{tmp_path}/graphs")
+    assert sources.read_json(spark, f"{tmp_path}/graphs/*").edges.drop("graph_id").collect() == g.edges.drop("graph_id").collect()
     assert spark.read.csv(f"{tmp_path}/metrics.csv", header=True).columns == "timestamp,module,type,fanIn,fanOut,instability,transitiveDepCount,healthScore,isGodModule,isOnCriticalPath,hasCycle".split(",")
     assert json.loads(reports.append_trend("broken", {"ts": 1})) == [{"ts": 1}] and len(json.loads(reports.append_trend(json.dumps([{"ts": i} for i in range(40)] + [3]), {"ts": 99}))) == 30
 
