@@ -576,7 +576,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         joined = written(connected_components(likely.join(best, ["a", "b"]), "group_a", "group_b"), "joined")
         of = lambda end: joined.select(F.col("node").alias(f"group_{end}"), F.col("component").alias(f"joined_{end}"))
         left = pairs.join(of("a"), "group_a", "left").join(of("b"), "group_b", "left").where(F.coalesce("joined_a", "group_a") != F.coalesce("joined_b", "group_b"))
-        rest = verified(left.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), texts, size, min_similarity)
+        left = written(left.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), "left")
+        rest = verified(left, texts, size, min_similarity)
         found = connected_components(first.unionAll(likely).unionAll(rest))
         label = written(same.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "best"), "labels", outer=True)
     label = label.join(label.groupBy("component").agg(F.min("best").alias("least")), "component")
