@@ -107,7 +107,7 @@ def test_lm_probabilities_sum_to_one():
     texts = [[*(f"w{int(rng.paretovariate(0.6)) % 200}" for _ in range(80)), None] for _ in range(150)]
     one, two = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(["^", *t], t))
     n, v = sum(one.values()), len(one)
-    keys = {p: np.uint64(i * 0x9E3779B97F4A7C15 % 2**64) for i, p in enumerate((a, b) for a in ["^", *one] for b in one)}
+    keys = {(a, b): np.uint64(rng.getrandbits(64)) for a in ["^", *one] for b in one}
     seen = sorted(two, key=lambda p: keys[p])
     kept = lm.Filter([(0, *lm.build_filter(np.array([keys[p] for p in seen], np.uint64), np.array([two[p] for p in seen])))], 1)
     sums = []
