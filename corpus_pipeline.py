@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, mixing, quality_rules, secrets, simhash
 from gridloom.llm.common import aside, drop, row_key, scratch, table, temporary
+from gridloom.llm.common import written as written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 

@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, quality_rules, queries, simhash
+from gridloom.llm import bpe, components, quality_rules, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^ \t\n\v\f\r]+")
@@ -237,6 +237,28 @@ def test_components_with_hubs(spark):
     assert len(found) == len(got)
 
 
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch):
+    rng = random.Random(11)
+    pairs = [(x, x + 1) for x in range(0, 600, 2)] + [(rng.randrange(500), rng.randrange(500)) for _ in range(150)] + [(4000 - i, 4001 - i) for i in range(300)]
+    pairs += [(x, 9000) for x in range(5000, 5400)] + [(-(2**62), 2**62), (3, 3), (None, 4), (4, None)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    rounds = []
+    monkeypatch.setattr(components, "_large_star", lambda *a, f=components._large_star: rounds.append(1) or f(*a))
+    few = sorted(components.connected_components(df).collect())
+    assert not rounds  # the driver plans no round for so few links
+    assert sorted(components.connected_components(df, few=100).collect()) == few and rounds
+    up = {x: x for p in pairs if None not in p for x in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in (p for p in pairs if None not in p):
+            low = min(up[a], up[b])
+            changed |= up[a] != low or up[b] != low
+            up[a] = up[b] = low
+    assert few == sorted((x, c) for x, c in up.items() if x != c)
+    assert components.connected_components(df.where("a = b")).count() == 0
+
+
 def test_near_duplicates_at_the_threshold(docs_of):
     rng = random.Random(3)
     pairs, texts = [], []
