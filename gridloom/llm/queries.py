@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, classifier, embeddings, lm, mixing, quality_rules, secrets, simhash, substring, warc
-from gridloom.llm.common import table
+from gridloom.llm.common import table, written
 from gridloom.llm.oracles import ORACLES as ORACLES
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -50,10 +50,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = written(classifier.with_features(table(spark, sf_dir, "documents").select("doc_id", "text")), "features")
     held_out = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))) % 4 == 2
-    model = classifier.train(docs, table(spark, sf_dir, "labels"), ~held_out("id"))
-    return classifier.classify(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+    model = classifier.train(docs, table(spark, sf_dir, "labels"), ~held_out("id"), text="features")
+    return classifier.classify(docs, model, text="features").select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,3 +196,36 @@ def test_classifier_edges(docs_of, spark):
     assert {r.score for r in classifier.classify(docs, None).collect()} == {0.5}
     assert classifier.classify(docs.where("false"), model).count() == 0
     assert classifier.train(docs.where("false"), labels, F.lit(True)) is None
+
+
+def test_classifier_learns_from_all_labelled_rows(spark):
+    docs = spark.range(22_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence(F.lit(1), F.col("id") % 50 + 9)).alias("text"))
+    last = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id").desc()).limit(1_500).collect()]
+    bad = F.col("doc_id").isin(last)  # all labels of one kind are beyond the first 20,000 rows by hash
+    docs = docs.withColumn("text", F.when(bad, F.concat("text", F.lit(" ! ! ! !"))).otherwise(F.col("text")))
+    model = classifier.train(docs, docs.select("doc_id", (~bad).cast("int").alias("quality")), F.lit(True))
+    assert model is not None
+    rows = classifier.classify(docs, model).collect()
+    assert all(r.predicted == (r.doc_id not in set(last)) for r in rows[:200] + [r for r in rows if r.doc_id in last[:200]])
+    assert len(rows) == 22_000
+
+
+def test_classifier_groups_and_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(classifier, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    n_rare, n_common = 40, 700
+    x = rng.normal(size=(n_rare + n_common, len(classifier.NAMES)))
+    rows = [(i, int(i >= n_rare), f) for i, f in enumerate(x.tolist())]
+    labelled = spark.createDataFrame(rows, "id long, y int, features array<double>")
+    groups = classifier._groups(labelled, 0, n_rare, n_common).cache()
+    assert 30 <= groups.count() <= 45
+    firsts = lambda b: [f[0] for f in np.frombuffer(b).reshape(-1, len(classifier.NAMES))]
+    got = groups.collect()
+    assert sorted(v for g in got for v in firsts(g.common)) == sorted(x[n_rare:, 0])
+    assert sorted(v for g in got if g.own for v in firsts(g.rare)) == sorted(x[:n_rare, 0])
+    for a, b in ((3, 40), (40, 3), (16, 16), (1, 1)):
+        i, j = classifier._partners(a, b)
+        assert min(np.bincount(i, minlength=a)) >= classifier.PARTNERS and min(np.bincount(j, minlength=b)) >= classifier.PARTNERS
+        assert len(set(zip(i.tolist(), j.tolist()))) >= min(a * b, max(a, b) * min(classifier.PARTNERS, a))
+    found = classifier._ranked(groups, lambda x: x[:, 0], [(True, True, 100), (True, False, 7), (False, True, 699)], 9)
+    assert np.allclose(found, [np.sort(x[:, 0])[100], np.sort(x[:n_rare, 0])[7], x[n_rare:, 0].max()], atol=1e-8)
